@@ -3,7 +3,8 @@
 Method: prefix filtering under several global orders. A pair of Jaccard >= t shares a token among the first
 n - ceil(t * n) + 1 tokens of both sets under *every* total order of tokens. The first order (rare tokens first, by a
 fixed-size count sketch over all documents) makes the candidates; the prefixes under two further, independent orders
-must intersect as well, before the sets are compared in full.
+must intersect as well, before the sets are compared in full. Between the two, an odd sketch of each set (256 bytes)
+bounds the overlap from above and drops pairs that cannot reach t, so texts travel only for pairs that may link.
 
 Copies: documents with the same shingle set are one class, and only classes are joined. Within the documents that share
 a prefix token, links go first to a few anchors, so a group of g near copies costs about g comparisons; what is then
@@ -30,8 +31,11 @@ from .common import U64, Hasher, cut, ids_and_texts, mix, sketch, texts_of
 SKETCH_BITS = 20
 #: Bits of the fixed-size filter that keeps texts of documents without candidates out of the shuffle.
 FILTER_BITS = 22
+#: log2 of the bits in the odd sketch of a set.
+ODD_BITS = 11
+SPREAD = 0x9E3779B97F4A7C15
 #: Independent token orders, besides the first, whose prefixes must intersect.
-ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+ORDERS = (0x27D4EB2F165667C5, 0xC2B2AE3D27D4EB4F)
 
 
 def prefix_length(n: int, t: Fraction) -> int:
@@ -63,18 +67,63 @@ class Sets:
         return Sets.hasher.shingle_sets(texts, self.size)
 
 
-def document_sets(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, d1, d2 (digest of the set; null where it is empty)."""
+def hit(filter_bits: bytes, key: int) -> int:
+    """Is the key in a fixed-size filter (packed bits)?"""
+    k = (key * SPREAD % 2**64) >> (64 - (len(filter_bits) * 8).bit_length() + 1)
+    return filter_bits[k >> 3] >> (7 - (k & 7)) & 1
+
+
+def filter_of(ids: DataFrame):
+    """Broadcast bits, of a fixed number, that hold every long of a one-column frame."""
+    keys = lambda b: b.column(0).to_numpy(zero_copy_only=False).view(U64) * U64(SPREAD)
+    return ids.sparkSession.sparkContext.broadcast(np.packbits(sketch(ids, keys, FILTER_BITS) > 0).tobytes())
+
+
+def odd_sketch(s: np.ndarray) -> bytes:
+    """Bit i is the parity of the members that hash to i: the sketches of two sets differ in at most as many bits as the sets."""
+    return np.packbits(np.bincount((mix(s ^ U64(SPREAD)) >> U64(64 - ODD_BITS)).astype(np.int64), minlength=1 << ODD_BITS) & 1).tobytes()
+
+
+def document_sets(docs: DataFrame, size: int, wanted) -> DataFrame:
+    """doc_id, n_shingles, d1, d2 (digest of the set; null where it is empty), sketch (odd sketch, for wanted sets, once in a task)."""
     sets = Sets(size)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("sketch", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
         for b in batches:
             found = sets(texts_of(b.column(1)))
             ds = [digest(s) if len(s) else (None, None) for s in found]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array([d[0] for d in ds], pa.int64()), pa.array([d[1] for d in ds], pa.int64())], schema=schema)
+            sketches = []
+            for s, d in zip(found, ds, strict=True):
+                new = d[0] is not None and d not in seen and hit(wanted.value, d[0])
+                sketches.append(odd_sketch(s) if new else None)
+                if new:
+                    seen.add(d)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in found], pa.int64()), *(pa.array([d[i] for d in ds], pa.int64()) for i in (0, 1)), pa.array(sketches, pa.binary())], schema=schema)
+
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, sketch binary")
+
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long")
+def promising(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
+    """The pairs (a, b) whose sizes and odd sketches allow a Jaccard of t."""
+    low, high = t.numerator, t.denominator
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint64).reshape(b.num_rows, -1) for i in (2, 4))
+                n, m = (b.column(i).to_numpy(zero_copy_only=False) for i in (3, 5))
+                apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+                overlap = (n + m - apart) // 2
+                good = pa.array((overlap * (high + low) >= low * (n + m)) & (high * np.minimum(n, m) >= low * np.maximum(n, m)))
+                yield pa.RecordBatch.from_arrays([b.column(0).filter(good), b.column(1).filter(good)], schema=schema)
+
+    have = sets.where("sketch is not null").groupBy("d1", "d2").agg(F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n"))
+    one = have.select(F.col("d1").alias("a"), F.col("sketch").alias("sa"), F.col("n").alias("na"))
+    two = have.select(F.col("d1").alias("b"), F.col("sketch").alias("sb"), F.col("n").alias("nb"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "na", "sb", "nb").mapInArrow(run, "a long, b long").distinct()
 
 
 def rank_levels(docs: DataFrame, size: int, bits: int = SKETCH_BITS) -> np.ndarray:
@@ -220,16 +269,13 @@ def texts_by_set(docs: DataFrame, size: int, wanted) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
-        bits = int(math.log2(len(wanted.value) * 8))
         for b in batches:
             texts = texts_of(b.column(1))
             rows = []
             for s, text in zip(sets(texts), texts, strict=True):
-                if len(s) and (d := digest(s)) not in seen:
-                    k = (d[0] * 0x9E3779B97F4A7C15 % 2**64) >> (64 - bits)
-                    if wanted.value[k >> 3] >> (7 - (k & 7)) & 1:
-                        seen.add(d)
-                        rows.append((*d, text))
+                if len(s) and (d := digest(s)) not in seen and hit(wanted.value, d[0]):
+                    seen.add(d)
+                    rows.append((*d, text))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
@@ -321,18 +367,19 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     docs = ids_and_texts(docs, id_col, text_col)
     levels = spark.sparkContext.broadcast(rank_levels(docs, size))
     shared = cut(shared_only(postings(docs, size, t, levels)), "postings")
+    wanted = filter_of(shared.select("d1").mapInArrow(_distinct_longs, "d1 long"))
+    sets = cut(document_sets(docs, size, wanted), "sets")
+
+    def links(pairs: DataFrame) -> DataFrame:
+        pairs = cut(promising(pairs, sets, t), "pairs")
+        ends = filter_of(pairs.select(F.explode(F.array("a", "b")).alias("d1")))
+        texts = texts_by_set(docs, size, ends).groupBy("d1", "d2").agg(F.first("text").alias("text"))
+        return cut(verified(pairs, cut(texts, "texts"), size, t), "links")
+
     first = cut(anchors(shared), "anchors")
-    ids = shared.select("d1").mapInArrow(_distinct_longs, "d1 long")
-    bits = sketch(ids, lambda b: b.column(0).to_numpy(zero_copy_only=False).view(U64) * U64(0x9E3779B97F4A7C15), FILTER_BITS) > 0
-    wanted = spark.sparkContext.broadcast(np.packbits(bits))
-    texts = cut(texts_by_set(docs, size, wanted).groupBy("d1", "d2").agg(F.first("text").alias("text")), "texts")
-    edges = cut(verified(first, texts, size, t), "links")
-    named = lambda e: e.select(F.col("a1").alias("u"), F.col("b1").alias("v"))
-    labels = components(named(edges)).withColumnRenamed("node", "d1")
-    rest = across(shared, labels, t).join(first, ["a", "b"], "left_anti")
-    more = cut(verified(rest, texts, size, t), "links")
-    every = edges.union(more)
-    sets = cut(document_sets(docs, size), "sets")
+    edges = links(first)
+    labels = components(edges.select(F.col("a1").alias("u"), F.col("b1").alias("v"))).withColumnRenamed("node", "d1")
+    every = edges.union(links(across(shared, labels, t).join(first, ["a", "b"], "left_anti")))
     classes = sets.where("d1 is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n_class"))
     # nodes are 128-bit digests; d1 alone names one, but for sets that collide in it
     node = lambda a, b: F.concat(F.lpad(F.hex(a), 16, "0"), F.lpad(F.hex(b), 16, "0"))
