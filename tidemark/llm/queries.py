@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .ngram_join import ngram_jaccard
+from . import packing, wavelet
 from . import quality as rules
 from . import url_filter as urls
 from . import warc
@@ -19,6 +20,14 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard(table(spark, sf_dir, "documents"), size=5, percent=80)
 
 
+def op2_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), length=2048, end=0, with_ids=False).drop("ids")
+
+
+def op4_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.token_round_trip(table(spark, sf_dir, "documents"), end=2)
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.url_filter(table(spark, sf_dir, "pages"))
 
@@ -33,6 +42,8 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
+    "op2_best_fit": op2_best_fit,
+    "op4_wavelet": op4_wavelet,
     "op5_url_filter": op5_url_filter,
     "op6_quality": op6_quality,
     "op7_warc": op7_warc,

@@ -8,32 +8,48 @@ put together from its pieces. The result is that of encoding the whole text.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 
 #: Pieces that a worker remembers before it starts anew.
-REMEMBERED = 200_000
-#: Longer pieces are encoded but not remembered.
-LONG = 64
+REMEMBERED = 400_000
+#: A character between pieces that go to the tokenizer together, and how a byte-level vocabulary writes a space.
+MARK, SPACE_SIGN = "\x01", "\u0120"
+#: White space other than space and line feed.
+EXOTIC = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+INNER = re.compile(r"(?<=\S) (?=\S)")
+
+
+def pieces_of(t: str) -> list[str]:
+    """The text, split at every single space between two characters that are no white space."""
+    if "  " in t or " \n" in t or "\n " in t or t[:1] == " " or t[-1:] == " " or EXOTIC.search(t):
+        return INNER.split(t)
+    return t.split(" ")
 
 
 class Encoder:
     """encode(texts) -> an array of uint32 ids for each text."""
 
-    split = re.compile(r"(?<=\S) (?=\S)").split
-
     def __init__(self, path: str, keep_space: bool) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.lead = " " if keep_space else ""
+        vocabulary = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(1 + max(vocabulary.values()), bool)
+        self.spaced[[i for x, i in vocabulary.items() if x[:1] == SPACE_SIGN]] = True
+        mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else -1
         self.forget()
 
     def forget(self) -> None:
+        #: piece -> place in starts and sizes; the first piece of a text has a space before it as its key
         self.known: dict[str, int] = {}
-        self.ids: list[np.ndarray] = []
+        self.flat, self.starts, self.sizes = array("I"), array("q"), array("q")
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray] = []
@@ -43,37 +59,58 @@ class Encoder:
             out += self._encode(part)
         return out
 
+    def _learn(self, missing: list[str]) -> None:
+        """Encode new pieces: regular ones many in one call, told apart by their tokens; the others one by one."""
+        regular = [p for p in missing if " " not in p and MARK not in p and p]
+        rest = [p for p in missing if " " in p or MARK in p or not p]
+        for i in range(0, len(regular), 2048):
+            part = regular[i : i + 2048]
+            if self.lead:  # a token that begins with a space begins a piece
+                ids = np.array(self.tokenizer.encode(" " + " ".join(part), add_special_tokens=False).ids, np.int64)
+                starts = np.flatnonzero(self.spaced[ids])
+                sizes = np.diff(np.append(starts, len(ids)))
+            else:  # the token of MARK ends a piece
+                ids = np.array(self.tokenizer.encode(f" {MARK} ".join(part) + f" {MARK}", add_special_tokens=False).ids, np.int64)
+                ends = np.flatnonzero(ids == self.mark)
+                starts = np.concatenate(([0], ends[:-1] + 1))
+                sizes = ends - starts
+            if len(starts) == len(part):
+                self._add(part, ids, starts, sizes)
+            else:
+                rest += part
+        for i in range(0, len(rest), 2048):
+            part = rest[i : i + 2048]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([p[1:] if p[:1] == " " else self.lead + p for p in part], add_special_tokens=False)]
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            self._add(part, np.fromiter((x for y in found for x in y), np.int64, int(sizes.sum())), np.cumsum(sizes) - sizes, sizes)
+
+    def _add(self, part: list[str], ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
+        n = len(self.starts)
+        self.known.update(zip(part, range(n, n + len(part)), strict=True))
+        self.starts.extend((starts + len(self.flat)).tolist())
+        self.sizes.extend(sizes.tolist())
+        self.flat.frombytes(ids.astype(np.uint32).tobytes())
+
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         pieces: list[str] = []
         counts = []
         for t in texts:
-            p = self.split(t)
-            if self.lead:
-                pieces.append(p[0])
-                pieces += [" " + x for x in p[1:]]
-            else:
-                pieces += p
+            p = pieces_of(t)
+            p[0] = " " + p[0]
+            pieces += p
             counts.append(len(p))
-        get = self.known.get
-        codes = np.fromiter((get(p, -1) for p in pieces), np.int64, len(pieces))
-        missing = list(dict.fromkeys(pieces[i] for i in np.flatnonzero(codes < 0).tolist()))
-        local = dict(zip(missing, range(len(self.ids), len(self.ids) + len(missing)), strict=True))
-        first_new = len(self.ids)
-        self.ids += [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)]
-        if missing:
-            at = np.flatnonzero(codes < 0)
-            codes[at] = np.fromiter((local[pieces[i]] for i in at.tolist()), np.int64, len(at))
-        lengths = np.fromiter(map(len, self.ids), np.int64, len(self.ids))
-        starts = np.cumsum(lengths) - lengths
-        flat = np.concatenate([np.zeros(0, np.uint32), *self.ids])
-        n = lengths[codes]
+        codes = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
+        at = np.flatnonzero(codes < 0).tolist()
+        if at:
+            new = [pieces[i] for i in at]
+            self._learn(list(dict.fromkeys(new)))
+            codes[at] = np.fromiter(map(self.known.get, new), np.int64, len(new))
+        sizes, starts, flat = (np.array(x) for x in (self.sizes, self.starts, self.flat))
+        n = sizes[codes]
         ends = np.cumsum(n)
-        index = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n) + np.repeat(starts[codes], n)
-        every = flat[index]
-        # remember the short ones: compact what is kept
-        self.known |= {p: i for p, i in local.items() if len(p) <= LONG}
-        del first_new
-        bounds = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts)))]
+        index = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[codes] - (ends - n), n)
+        every = flat.astype(np.uint32, copy=False)[index]
+        bounds = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))]
         return [every[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
