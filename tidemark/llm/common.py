@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.session import cut, shared_dir
+from tidemark.session import cut, shared_dir, ship
 
 __all__ = ["cut", "shared_dir", "texts_of", "table", "ids_and_texts", "Hasher", "sketch", "mix"]
 
@@ -19,8 +19,14 @@ U64 = np.uint64
 BATCH_ROWS = "1000"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def prepare(spark: SparkSession) -> None:
+    """What a session needs before an operator with Python stages runs over whole texts."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

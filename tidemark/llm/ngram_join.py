@@ -33,6 +33,7 @@ SKETCH_BITS = 20
 FILTER_BITS = 22
 #: log2 of the bits in the odd sketch of a set.
 ODD_BITS = 11
+EMPTY = (1 << ODD_BITS) // 32
 SPREAD = 0x9E3779B97F4A7C15
 #: Independent token orders, besides the first, whose prefixes must intersect.
 ORDERS = (0x27D4EB2F165667C5, 0xC2B2AE3D27D4EB4F)
@@ -84,10 +85,15 @@ def odd_sketch(s: np.ndarray) -> bytes:
     return np.packbits(np.bincount((mix(s ^ U64(SPREAD)) >> U64(64 - ODD_BITS)).astype(np.int64), minlength=1 << ODD_BITS) & 1).tobytes()
 
 
+def folded(sketch: bytes) -> bytes:
+    """A shorter odd sketch of the same set: quarters added without carry."""
+    return np.bitwise_xor.reduce(np.frombuffer(sketch, np.uint64).reshape(4, -1)).tobytes()
+
+
 def document_sets(docs: DataFrame, size: int, wanted) -> DataFrame:
-    """doc_id, n_shingles, d1, d2 (digest of the set; null where it is empty), sketch (odd sketch, for wanted sets, once in a task)."""
+    """doc_id, n_shingles, d1, d2 (digest of the set; null where it is empty), sketch (odd sketch, for wanted sets, once in a task), small (the sketch folded to 64 bytes)."""
     sets = Sets(size)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("sketch", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("sketch", pa.binary()), ("small", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
@@ -100,9 +106,9 @@ def document_sets(docs: DataFrame, size: int, wanted) -> DataFrame:
                 sketches.append(odd_sketch(s) if new else None)
                 if new:
                     seen.add(d)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in found], pa.int64()), *(pa.array([d[i] for d in ds], pa.int64()) for i in (0, 1)), pa.array(sketches, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in found], pa.int64()), *(pa.array([d[i] for d in ds], pa.int64()) for i in (0, 1)), pa.array(sketches, pa.binary()), pa.array([x and folded(x) for x in sketches], pa.binary())], schema=schema)
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, sketch binary")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, sketch binary, small binary")
 
 
 def promising(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
@@ -219,20 +225,22 @@ def anchors(posts: DataFrame) -> DataFrame:
     return pairs.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
 
 
-def across(posts: DataFrame, labels: DataFrame, t: Fraction) -> DataFrame:
-    """Pairs (a, b) of a run that lie in different components, after the size and the position filter.
+def across(posts: DataFrame, labels: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
+    """Pairs (a, b) of a run that lie in different components, after the filters on size, place and small odd sketch.
 
     A run of one component is dropped by an aggregate with map-side combining before anything is gathered. The rest is
-    compared block by block within sorted runs.
+    compared within sorted runs, row against block; only pairs that pass the filters become rows.
     """
     named = posts.join(labels, "d1", "left").select("token", "d1", "place", F.coalesce("component", "d1").alias("component"))
     mixed = named.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
-    left = named.join(mixed, "token", "left_semi")
+    # a first half of a digest that two sets share has no sketch and is not filtered
+    small = sets.where("small is not null").groupBy("d1").agg(F.when(F.min("d2") == F.max("d2"), F.first("small")).alias("small"))
+    left = named.join(mixed, "token", "left_semi").join(small, "d1", "left").select("token", "d1", "place", "component", F.coalesce("small", F.lit(b"")).alias("small"))
     low, high = t.numerator, t.denominator
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for token, d1, place, component in runs(batches):
+        for token, d1, place, component, small in runs(batches):
             bounds = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1], [True])))
             out: list[np.ndarray] = []
             held = 0
@@ -240,6 +248,10 @@ def across(posts: DataFrame, labels: DataFrame, t: Fraction) -> DataFrame:
                 n, p = place[s:e] >> 32, place[s:e] & 0xFFFFFFFF
                 order = np.argsort(n, kind="stable")
                 d, c, n, p = d1[s:e][order], component[s:e][order], n[order], p[order]
+                if c[0] == c[-1] and (c == c[0]).all():
+                    continue
+                known = np.array([len(x) > 0 for x in small[s:e][order]])
+                sketches = np.frombuffer(b"".join(x or bytes(EMPTY) for x in small[s:e][order]), np.uint64).reshape(len(n), -1)
                 for i in range(0, len(n) - 1):
                     # sizes: high * n_i >= low * n_j; position: the rest of both sets must still reach the overlap
                     stop = int(np.searchsorted(n, high * n[i] // low, side="right"))
@@ -247,6 +259,9 @@ def across(posts: DataFrame, labels: DataFrame, t: Fraction) -> DataFrame:
                     rest = np.minimum(n[i] - p[i], n[j] - p[j])
                     # whole-number overlap for Jaccard >= t: o * (high + low) >= low * (n_i + n_j)
                     good = (c[j] != c[i]) & ((rest + np.minimum(p[i], p[j])) * (high + low) >= low * (n[i] + n[j]))
+                    if known[i] and good.any():
+                        apart = np.bitwise_count(sketches[j] ^ sketches[i]).sum(axis=1, dtype=np.int64)
+                        good &= ~known[j] | ((n[i] + n[j] - apart) // 2 * (high + low) >= low * (n[i] + n[j]))
                     if good.any():
                         other = d[j][good]
                         out.append(np.stack((np.minimum(other, d[i]), np.maximum(other, d[i]))))
@@ -379,7 +394,7 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     first = cut(anchors(shared), "anchors")
     edges = links(first)
     labels = components(edges.select(F.col("a1").alias("u"), F.col("b1").alias("v"))).withColumnRenamed("node", "d1")
-    every = edges.union(links(across(shared, labels, t).join(first, ["a", "b"], "left_anti")))
+    every = edges.union(links(across(shared, labels, sets, t).join(first, ["a", "b"], "left_anti")))
     classes = sets.where("d1 is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n_class"))
     # nodes are 128-bit digests; d1 alone names one, but for sets that collide in it
     node = lambda a, b: F.concat(F.lpad(F.hex(a), 16, "0"), F.lpad(F.hex(b), 16, "0"))

@@ -15,9 +15,12 @@ from itertools import repeat
 import numpy as np
 
 #: Pieces that a worker remembers before it starts anew.
-REMEMBERED = 400_000
-#: A character between pieces that go to the tokenizer together, and how a byte-level vocabulary writes a space.
-MARK, SPACE_SIGN = "\x01", "\u0120"
+REMEMBERED = 700_000
+#: How a byte-level vocabulary writes a space, and how one of words marks their ends.
+SPACE_SIGN, WORD_END = "\u0120", "</w>"
+POINTS = frozenset(".,;:!?")
+#: Characters whose lower case may depend on more than the character, or on the library.
+FAR = re.compile("[\u0130\u0250-\U0010ffff]")
 #: White space other than space and line feed.
 EXOTIC = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 INNER = re.compile(r"(?<=\S) (?=\S)")
@@ -40,12 +43,24 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.lead = " " if keep_space else ""
         vocabulary = self.tokenizer.get_vocab()
-        self.spaced = np.zeros(1 + max(vocabulary.values()), bool)
-        self.spaced[[i for x, i in vocabulary.items() if x[:1] == SPACE_SIGN]] = True
-        mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
-        self.mark = mark[0] if len(mark) == 1 else -1
+        self.edge = np.zeros(1 + max(vocabulary.values()), bool)
+        self.edge[[i for x, i in vocabulary.items() if (x[:1] == SPACE_SIGN if keep_space else x.endswith(WORD_END))]] = True
+        self.folds = self.tokenizer.normalizer is not None and "Lowercase" in str(self.tokenizer.normalizer)
+        self.words = self._for_words()
         self.forget()
 
+    def _for_words(self):
+        """The same model for plain words in lower case where it folds: nothing to normalise, split at spaces only."""
+        from tokenizers import Regex, Tokenizer, pre_tokenizers
+
+        same = Tokenizer.from_str(self.tokenizer.to_str())
+        same.encode_special_tokens = True
+        if self.folds:
+            same.normalizer = None
+        split = pre_tokenizers.Split(Regex(" "), "merged_with_next" if self.lead else "removed")
+        same.pre_tokenizer = pre_tokenizers.Sequence([split, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        return same
+
     def forget(self) -> None:
         #: piece -> place in starts and sizes; the first piece of a text has a space before it as its key
         self.known: dict[str, int] = {}
@@ -59,25 +74,54 @@ class Encoder:
             out += self._encode(part)
         return out
 
+    def _stem(self, p: str) -> tuple[str, str]:
+        """(stem, point): a letter and a last point never share a token, and a vocabulary without case folds it."""
+        point = p[-1] if p and p[-1] in POINTS and p[-2:-1].isalpha() and p[0] != " " else ""
+        stem = p[:-1] if point else p
+        if self.folds and not FAR.search(stem):
+            stem = stem.lower()
+        return stem, point
+
     def _learn(self, missing: list[str]) -> None:
-        """Encode new pieces: regular ones many in one call, told apart by their tokens; the others one by one."""
-        regular = [p for p in missing if " " not in p and MARK not in p and p]
-        rest = [p for p in missing if " " in p or MARK in p or not p]
-        for i in range(0, len(regular), 2048):
-            part = regular[i : i + 2048]
-            if self.lead:  # a token that begins with a space begins a piece
-                ids = np.array(self.tokenizer.encode(" " + " ".join(part), add_special_tokens=False).ids, np.int64)
-                starts = np.flatnonzero(self.spaced[ids])
-                sizes = np.diff(np.append(starts, len(ids)))
-            else:  # the token of MARK ends a piece
-                ids = np.array(self.tokenizer.encode(f" {MARK} ".join(part) + f" {MARK}", add_special_tokens=False).ids, np.int64)
-                ends = np.flatnonzero(ids == self.mark)
-                starts = np.concatenate(([0], ends[:-1] + 1))
-                sizes = ends - starts
-            if len(starts) == len(part):
-                self._add(part, ids, starts, sizes)
+        """Encode new pieces: their stems first, as far as those are new too."""
+        known = self.known
+        derived = {p: x for p in missing if (x := self._stem(p)) != (p, "")}
+        stems = [p for p in missing if p not in derived]
+        stems += [s for s, _ in derived.values() if s not in known]
+        self._learn_stems(list(dict.fromkeys(stems)))
+        points = {c: np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, np.uint32).tobytes() for c in {c for _, c in derived.values() if c}}
+        starts, sizes, flat = self.starts, self.sizes, self.flat
+        for p, (s, c) in derived.items():
+            k = known[s]
+            if c:
+                a, n = starts[k], sizes[k]
+                known[p] = len(starts)
+                starts.append(len(flat))
+                flat.extend(flat[a : a + n])
+                flat.frombytes(points[c])
+                sizes.append(len(flat) - starts[-1])
             else:
-                rest += part
+                known[p] = k
+
+    def _learn_stems(self, missing: list[str]) -> None:
+        """Encode: plain words many in one call, told apart by their tokens; the others one by one."""
+        plain = [p for p in missing if p.isalpha() and not FAR.search(p)]
+        rest = [p for p in missing if not p.isalpha() or FAR.search(p)]
+        for i in range(0, len(plain), 2048 * 16):
+            lots = [plain[j : j + 2048] for j in range(i, min(i + 2048 * 16, len(plain)), 2048)]
+            for part, found in zip(lots, self.words.encode_batch_fast([" " + " ".join(x) for x in lots], add_special_tokens=False), strict=True):
+                ids = np.array(found.ids, np.int64)
+                if self.lead:  # a token that begins with a space begins a word
+                    starts = np.flatnonzero(self.edge[ids])
+                    sizes = np.diff(np.append(starts, len(ids)))
+                else:  # a token with the end-of-word mark ends one
+                    ends = np.flatnonzero(self.edge[ids]) + 1
+                    starts = np.concatenate(([0], ends[:-1]))
+                    sizes = ends - starts
+                if len(starts) == len(part):
+                    self._add(part, ids, starts, sizes)
+                else:
+                    rest += part
         for i in range(0, len(rest), 2048):
             part = rest[i : i + 2048]
             found = [e.ids for e in self.tokenizer.encode_batch_fast([p[1:] if p[:1] == " " else self.lead + p for p in part], add_special_tokens=False)]
