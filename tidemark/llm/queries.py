@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .ngram_join import ngram_jaccard
-from . import packing, wavelet
+from . import chat, decontaminate, packing, wavelet
 from . import quality as rules
 from . import url_filter as urls
 from . import warc
@@ -24,6 +25,12 @@ def op2_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), length=2048, end=0, with_ids=False).drop("ids")
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, item_id, distance: one row for each item found in a document."""
+    found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("finds").alias("f")).select("doc_id", "f.item_id", "f.distance")
+
+
 def op4_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.token_round_trip(table(spark, sf_dir, "documents"), end=2)
 
@@ -40,17 +47,25 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chat.format_chats(chat.with_added(table(spark, sf_dir, "conversations")))
+    return found.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+
+
 QUERIES: dict[str, Query] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_best_fit": op2_best_fit,
+    "op3_decontaminate": op3_decontaminate,
     "op4_wavelet": op4_wavelet,
     "op5_url_filter": op5_url_filter,
     "op6_quality": op6_quality,
     "op7_warc": op7_warc,
+    "op10_chat": op10_chat,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_url_filter": urls.SQL,
     "op6_quality": rules.SQL,
     "op7_warc": warc.SQL,
+    "op10_chat": chat.SQL,
 }
