@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.session import cut, shared_dir, ship
 
-__all__ = ["cut", "shared_dir", "texts_of", "table", "ids_and_texts", "Hasher", "sketch", "mix"]
+__all__ = ["Hasher", "cut", "filter_of", "hit", "ids_and_texts", "mix", "prepare", "runs", "shared_dir", "sketch", "table", "texts_of"]
 
 U64 = np.uint64
 #: Rows of whole texts in one Arrow batch; long texts make rows of 100 kB.
@@ -49,6 +49,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(32))
 
 
+#: log2 of the bits of the fixed-size filter that keeps rows without a partner out of a shuffle.
+FILTER_BITS = 22
+SPREAD = 0x9E3779B97F4A7C15
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
@@ -167,3 +170,33 @@ def sketch(df: DataFrame, keys, bits: int) -> np.ndarray:
     for row in parts.collect():
         out[row["block"] * block : (row["block"] + 1) * block] += unpacked(row["counts"])
     return out
+
+
+def hit(filter_bits: bytes, key: int) -> int:
+    """Is the key in a fixed-size filter (packed bits)?"""
+    k = (key * SPREAD % 2**64) >> (64 - (len(filter_bits) * 8).bit_length() + 1)
+    return filter_bits[k >> 3] >> (7 - (k & 7)) & 1
+
+
+def filter_of(ids: DataFrame):
+    """Broadcast bits, of a fixed number, that hold every long of a one-column frame."""
+    keys = lambda b: b.column(0).to_numpy(zero_copy_only=False).view(U64) * U64(SPREAD)
+    return ids.sparkSession.sparkContext.broadcast(np.packbits(sketch(ids, keys, FILTER_BITS) > 0).tobytes())
+
+
+def runs(batches: Iterator[pa.RecordBatch], key: int = 0) -> Iterator[list[np.ndarray]]:
+    """Columns of whole runs of equal keys, from batches sorted by key: several runs at once."""
+    rest: list[np.ndarray] | None = None
+    for b in batches:
+        columns = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+        if rest is not None:
+            columns = [np.concatenate(x) for x in zip(rest, columns, strict=True)]
+        k = columns[key]
+        if not len(k):
+            continue
+        end = int(np.searchsorted(k, k[-1]))
+        if end:
+            yield [c[:end] for c in columns]
+        rest = [c[end:] for c in columns]
+    if rest is not None and len(rest[0]):
+        yield rest

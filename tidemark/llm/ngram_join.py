@@ -26,15 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Hasher, cut, ids_and_texts, mix, sketch, texts_of
+from .common import SPREAD, U64, Hasher, cut, filter_of, hit, ids_and_texts, mix, runs, sketch, texts_of
 
 SKETCH_BITS = 20
-#: Bits of the fixed-size filter that keeps texts of documents without candidates out of the shuffle.
-FILTER_BITS = 22
 #: log2 of the bits in the odd sketch of a set.
 ODD_BITS = 11
 EMPTY = (1 << ODD_BITS) // 32
-SPREAD = 0x9E3779B97F4A7C15
 #: Independent token orders, besides the first, whose prefixes must intersect.
 ORDERS = (0x27D4EB2F165667C5, 0xC2B2AE3D27D4EB4F)
 
@@ -68,18 +65,6 @@ class Sets:
         return Sets.hasher.shingle_sets(texts, self.size)
 
 
-def hit(filter_bits: bytes, key: int) -> int:
-    """Is the key in a fixed-size filter (packed bits)?"""
-    k = (key * SPREAD % 2**64) >> (64 - (len(filter_bits) * 8).bit_length() + 1)
-    return filter_bits[k >> 3] >> (7 - (k & 7)) & 1
-
-
-def filter_of(ids: DataFrame):
-    """Broadcast bits, of a fixed number, that hold every long of a one-column frame."""
-    keys = lambda b: b.column(0).to_numpy(zero_copy_only=False).view(U64) * U64(SPREAD)
-    return ids.sparkSession.sparkContext.broadcast(np.packbits(sketch(ids, keys, FILTER_BITS) > 0).tobytes())
-
-
 def odd_sketch(s: np.ndarray) -> bytes:
     """Bit i is the parity of the members that hash to i: the sketches of two sets differ in at most as many bits as the sets."""
     return np.packbits(np.bincount((mix(s ^ U64(SPREAD)) >> U64(64 - ODD_BITS)).astype(np.int64), minlength=1 << ODD_BITS) & 1).tobytes()
@@ -165,24 +150,6 @@ def postings(docs: DataFrame, size: int, t: Fraction, levels) -> DataFrame:
     return docs.mapInArrow(run, "token long, d1 long, place long")
 
 
-def runs(batches: Iterator[pa.RecordBatch], key: int = 0) -> Iterator[list[np.ndarray]]:
-    """Columns of whole runs of equal keys, from batches sorted by key: several runs at once."""
-    rest: list[np.ndarray] | None = None
-    for b in batches:
-        columns = [c.to_numpy(zero_copy_only=False) for c in b.columns]
-        if rest is not None:
-            columns = [np.concatenate(x) for x in zip(rest, columns, strict=True)]
-        k = columns[key]
-        if not len(k):
-            continue
-        end = int(np.searchsorted(k, k[-1]))
-        if end:
-            yield [c[:end] for c in columns]
-        rest = [c[end:] for c in columns]
-    if rest is not None and len(rest[0]):
-        yield rest
-
-
 def shared_only(posts: DataFrame) -> DataFrame:
     """The postings whose token more than one set has in its prefix."""
     schema = pa.schema([("token", pa.int64()), ("d1", pa.int64()), ("place", pa.int64())])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .ngram_join import ngram_jaccard
-from . import chat, decontaminate, packing, wavelet
+from . import chat, decontaminate, maxent_lm, packing, suffix_dedup, wavelet
 from . import quality as rules
 from . import url_filter as urls
 from . import warc
@@ -47,6 +47,14 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op8_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent_lm.score(table(spark, sf_dir, "documents"))
+
+
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents")).drop("kept", "carried")
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = chat.format_chats(chat.with_added(table(spark, sf_dir, "conversations")))
     return found.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
@@ -60,6 +68,8 @@ QUERIES: dict[str, Query] = {
     "op5_url_filter": op5_url_filter,
     "op6_quality": op6_quality,
     "op7_warc": op7_warc,
+    "op8_maxent": op8_maxent,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_chat": op10_chat,
 }
 
