@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, ids_and_texts, mix, texts_of
+from .common import U64, mix, texts_of
 
 #: Bytes of item text that may be broadcast; a larger benchmark is taken in lots of this size, each a pass.
 ITEM_BYTES = 64 << 20
@@ -200,8 +200,11 @@ def made(value: tuple) -> Index:
     return _index[key]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", allowed: float = ALLOWED, q: int = Q) -> DataFrame:
-    """doc_id, contaminated, finds (array of item_id, start, end, distance; places in the plain text): one row per row of docs."""
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", allowed: float = ALLOWED, q: int = Q, carry: list[str] | None = None) -> DataFrame:
+    """doc_id, contaminated, finds (array of item_id, start, end, distance; places in the plain text): one row per row of docs.
+
+    The columns to carry come along in a struct `carried`.
+    """
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if size > ITEM_BYTES:
@@ -213,23 +216,28 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = made(shared.value)
 
-        def found(ids: list, texts: list[bytes]) -> pa.RecordBatch:
+        def found(ids: list, texts: list[bytes], more: list) -> pa.RecordBatch:
             finds = index.finds(texts)
             value = [[dict(zip(("item_id", "start", "end", "distance"), f, strict=True)) for f in x] for x in finds]
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([bool(x) for x in finds], pa.bool_()), pa.array(value, schema.field(2).type)], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([bool(x) for x in finds], pa.bool_()), pa.array(value, schema.field(2).type), pa.concat_arrays(more)], names=[*schema.names, "carried"])
 
         ids: list = []
+        more: list = []
         texts: list[bytes] = []
         size = 0
         for b in batches:
             ids += b.column(0).to_pylist()
+            more.append(b.column(2))
             new = [plain(t) for t in texts_of(b.column(1))]
             texts += new
             size += sum(map(len, new))
             if len(ids) >= LOT_ROWS or size >= LOT_BYTES:
-                yield found(ids, texts)
-                ids, texts, size = [], [], 0
+                yield found(ids, texts, more)
+                ids, texts, more, size = [], [], [], 0
         if ids:
-            yield found(ids, texts)
+            yield found(ids, texts, more)
 
-    return ids_and_texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, contaminated boolean, finds array<struct<item_id: long, start: long, end: long, distance: long>>")
+    carried = F.struct(*(F.col(c) for c in carry)) if carry else F.lit(None).cast("struct<none: int>")
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), carried.alias("carried"))
+    kind = docs.schema["carried"].dataType.simpleString()
+    return docs.mapInArrow(run, f"doc_id long, contaminated boolean, finds array<struct<item_id: long, start: long, end: long, distance: long>>, carried {kind}")

@@ -78,7 +78,7 @@ def folded(sketch: bytes) -> bytes:
 def document_sets(docs: DataFrame, size: int, wanted) -> DataFrame:
     """doc_id, n_shingles, d1, d2 (digest of the set; null where it is empty), sketch (odd sketch, for wanted sets, once in a task), small (the sketch folded to 64 bytes)."""
     sets = Sets(size)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("sketch", pa.binary()), ("small", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("sketch", pa.binary()), ("small", pa.binary()), ("text_hash", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
@@ -91,9 +91,9 @@ def document_sets(docs: DataFrame, size: int, wanted) -> DataFrame:
                 sketches.append(odd_sketch(s) if new else None)
                 if new:
                     seen.add(d)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in found], pa.int64()), *(pa.array([d[i] for d in ds], pa.int64()) for i in (0, 1)), pa.array(sketches, pa.binary()), pa.array([x and folded(x) for x in sketches], pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in found], pa.int64()), *(pa.array([d[i] for d in ds], pa.int64()) for i in (0, 1)), pa.array(sketches, pa.binary()), pa.array([x and folded(x) for x in sketches], pa.binary()), b.column(2)], schema=schema)
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, sketch binary, small binary")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, sketch binary, small binary, text_hash long")
 
 
 def promising(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
@@ -339,10 +339,12 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
 
 
 def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_class: one row per row of docs.
+    """doc_id, n_shingles, component_id, n_class, component_key, text_hash: one row per row of docs.
 
     Two documents link when 100 * |intersection| >= percent * |union| of their distinct `size`-word shingles.
-    component_id is the least doc_id reachable over links; n_class counts the documents with the same shingle set.
+    component_id is the least doc_id reachable over links; n_class counts the documents with the same shingle set;
+    component_key names the component (null for an empty set), also where all of its ids are null; text_hash (xxhash64)
+    tells rows of one id apart.
     """
     spark = docs.sparkSession
     t = Fraction(percent, 100)
@@ -350,7 +352,7 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     levels = spark.sparkContext.broadcast(rank_levels(docs, size))
     shared = cut(shared_only(postings(docs, size, t, levels)), "postings")
     wanted = filter_of(shared.select("d1").mapInArrow(_distinct_longs, "d1 long"))
-    sets = cut(document_sets(docs, size, wanted), "sets")
+    sets = cut(document_sets(docs.withColumn("text_hash", F.xxhash64("text")), size, wanted), "sets")
 
     def links(pairs: DataFrame) -> DataFrame:
         pairs = cut(promising(pairs, sets, t), "pairs")
@@ -368,12 +370,30 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     final = components(every.select(node("a1", "a2").alias("u"), node("b1", "b2").alias("v")))
     classes = classes.withColumn("node", node("d1", "d2")).join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = classes.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    classes = classes.join(ids, "component").select("d1", "d2", "component_id", "n_class")
-    linked = sets.where("d1 is not null").join(classes, ["d1", "d2"]).select("doc_id", "n_shingles", "component_id", "n_class")
-    alone = sets.where("d1 is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("n_class"))
+    classes = classes.join(ids, "component").select("d1", "d2", "component_id", "n_class", F.col("component").alias("component_key"))
+    linked = sets.where("d1 is not null").join(classes, ["d1", "d2"]).select("doc_id", "n_shingles", "component_id", "n_class", "component_key", "text_hash")
+    alone = sets.where("d1 is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("n_class"), F.lit(None).cast("string").alias("component_key"), "text_hash")
     return linked.union(alone)
 
 
 def _distinct_longs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         yield pa.RecordBatch.from_arrays([pa.array(np.unique(b.column(0).to_numpy(zero_copy_only=False)))], names=["d1"])
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs, with all their columns, of which one stays for each component: that of the least id.
+
+    Rows with an empty set all stay; of rows that repeat id and text one stays.
+    """
+    found = cut(ngram_jaccard(docs, id_col, text_col, **options).select("doc_id", "component_key", "text_hash"), "classes")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
+    stay = found.where("component_key is not null").groupBy("component_key").agg(F.min(order).alias("o")).select("o.doc_id", "o.text_hash")
+    empty = found.where("component_key is null").select("doc_id", "text_hash").distinct()
+    keys = stay.union(empty).select(F.col("doc_id").alias("stay_id"), F.col("text_hash").alias("stay_hash"))
+    named = docs.withColumns({"_stay_hash": F.xxhash64(F.col(text_col).cast("string")), "_stay_id": F.col(id_col).cast("long")})
+    kept = named.join(keys, named._stay_id.eqNullSafe(keys.stay_id) & (named._stay_hash == keys.stay_hash), "left_semi")
+    repeated = found.where("component_key is not null").join(stay, ["doc_id", "text_hash"], "left_semi").groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count()
+    if repeated:
+        kept = kept.where("_stay_id is null").union(kept.where("_stay_id is not null").dropDuplicates(["_stay_id", "_stay_hash"]))
+    return kept.drop("_stay_hash", "_stay_id")

@@ -91,11 +91,15 @@ def distance(p: list[Column], q: tuple[float, ...]) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), reduce(lambda x, y: x + y, (half(a, F.lit(b)) + half(F.lit(b), a) for a, b in zip(p, q, strict=True))) / 2))
 
 
-def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", char_limit: float = CHAR_LIMIT, word_limit: float = WORD_LIMIT) -> DataFrame:
-    """doc_id, the base counts, base_failed, char_distance, word_distance (null under the guard) and kept: one row per row of docs."""
+def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", char_limit: float = CHAR_LIMIT, word_limit: float = WORD_LIMIT, carry: list[str] | None = None) -> DataFrame:
+    """doc_id, the base counts, base_failed, char_distance, word_distance (null under the guard) and kept: one row per row of docs.
+
+    With carry, these columns of docs come along in a struct `carried`.
+    """
     text = F.col("text")
     common = sorted({w for ws in WORD_REFERENCES.values() for w in ws})
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *([F.struct(*(F.col(c) for c in carry)).alias("carried")] if carry else []))
+    more = ["carried"] if carry else []
     d = with_window_hashes(d.withColumn("words", words_of(text)).withColumn("lines", F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{WHITE}]"))))
     # words of the references: found by their usual spellings, then lower-cased and rid of points at the end
     spellings = [x + end for w in common for x in (w, w.capitalize()) for end in ("", *".,;:!?")]
@@ -116,6 +120,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cha
         (F.length(text) - left_by(f"[{re.escape(POINTS)}]+")).alias("n_points"),
         F.sort_array(known).alias("known"),
         "windows",
+        *more,
     )
     placed, starts = covered(F.col("windows"))
     # most texts repeat no window: only the others are sorted
@@ -138,7 +143,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cha
     d = d.withColumn("char_distance", F.when(F.col("n_all") >= CHAR_GUARD, char_distance)).withColumn("word_distance", F.when(F.col("n_words") >= WORD_GUARD, word_distance))
     d = d.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
     kept = ~F.col("base_failed") & (F.coalesce("char_distance", F.lit(0.0)) <= char_limit) & (F.coalesce("word_distance", F.lit(0.0)) <= word_limit)
-    return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.round("char_distance", 9).alias("char_distance"), F.round("word_distance", 9).alias("word_distance"), kept.alias("kept"))
+    return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.round("char_distance", 9).alias("char_distance"), F.round("word_distance", 9).alias("word_distance"), kept.alias("kept"), *more)
 
 
 def _sql() -> str:

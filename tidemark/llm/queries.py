@@ -18,7 +18,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_jaccard(table(spark, sf_dir, "documents"), size=5, percent=80)
+    return ngram_jaccard(table(spark, sf_dir, "documents"), size=5, percent=80).select("doc_id", "n_shingles", "component_id", "n_class")
 
 
 def op2_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
