@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -76,9 +76,11 @@ def match_with_timeouts(waits: DataFrame, inbox: DataFrame) -> DataFrame:
     w = waits.select("event_type", "key", F.col("started_us").alias("at"), F.lit(1).alias("ord"), F.lit(True).alias("is_wait"), F.col("wait_id").alias("id"), F.col("deadline_us").cast("double").alias("deadline"))
     e = inbox.select("event_type", "key", F.col("received_us").alias("at"), F.lit(0).alias("ord"), F.lit(False).alias("is_wait"), F.col("row_id").alias("id"), F.lit(None).cast("double").alias("deadline"))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [(a, (o, i), s, i, float("inf") if pd.isna(d) else d) for a, o, s, i, d in zip(pdf["at"], pdf["ord"], pdf["is_wait"], pdf["id"], pdf["deadline"], strict=True)]
-        found = list(fold_waits(rows))
-        return pd.DataFrame({"event_type": [pdf["event_type"].iloc[0]] * len(found), "key": [pdf["key"].iloc[0]] * len(found), "wait_id": [x[0] for x in found], "row_id": pd.Series([x[1] for x in found], dtype=object), "at": [int(x[2]) for x in found]})
+    schema = pa.schema([("event_type", pa.string()), ("key", pa.string()), ("wait_id", pa.int64()), ("row_id", pa.int64()), ("at", pa.int64())])
 
-    return w.union(e).groupBy("event_type", "key").applyInPandas(fold, "event_type string, key string, wait_id bigint, row_id bigint, at bigint")
+    def fold(t: pa.Table) -> pa.Table:
+        c = {n: t.column(n).to_pylist() for n in t.column_names}
+        rows = [(a, (o, i), s, i, float("inf") if d is None else d) for a, o, s, i, d in zip(c["at"], c["ord"], c["is_wait"], c["id"], c["deadline"], strict=True)]
+        return pa.Table.from_pylist([{"event_type": c["event_type"][0], "key": c["key"][0], "wait_id": w, "row_id": e, "at": int(at)} for w, e, at in fold_waits(rows)], schema=schema)
+
+    return w.union(e).groupBy("event_type", "key").applyInArrow(fold, "event_type string, key string, wait_id bigint, row_id bigint, at bigint")
