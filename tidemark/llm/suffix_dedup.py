@@ -34,9 +34,9 @@ from .common import U64, Hasher, cut, filter_of, hit, mix, runs, slices, texts_o
 
 LENGTH, GRAM = 200, 32
 #: Distinct runs of one anchor that are sorted in one task.
-GROUP_MOST = 50_000
+GROUP_MOST = 12_000
 #: Suffix bytes that are sorted together.
-LOT_BYTES = 4 << 20
+LOT_BYTES = 1 << 20
 PLACE_BITS = 24
 
 _hasher: list[Hasher] = []
@@ -282,7 +282,7 @@ def repeated_windows(chunks: list[bytes], groups: list[int], anchors_at: list[in
     for bits in range(1, int(members.max(initial=1) - 1).bit_length() + 1):
         m = 1 << bits
         chosen = np.flatnonzero((members > m // 2) & (members <= m))
-        most = max(1, (1 << 19) // m)
+        most = max(1, (1 << 17) // m)
         for i in range(0, len(chosen), most):
             own = chosen[i : i + most]
             index = first[own][:, None] + np.arange(m)[None, :]
