@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +18,7 @@ __all__ = ["Hasher", "cut", "filter_of", "hit", "ids_and_texts", "mix", "prepare
 
 U64 = np.uint64
 #: Rows of whole texts in one Arrow batch; long texts make rows of 100 kB.
-BATCH_ROWS = "1000"
+BATCH_ROWS = "400"
 
 
 def prepare(spark: SparkSession) -> None:
@@ -35,8 +37,21 @@ def ids_and_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+_calls = [0]
+
+
+def give_back() -> None:
+    """Return freed memory to the system now and then: a worker is used for many tasks, and keeps what it ever held."""
+    _calls[0] += 1
+    if _calls[0] % 2 == 0:
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def texts_of(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each value; null is empty."""
+    give_back()
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
@@ -115,7 +130,17 @@ class Hasher:
         return out
 
 
-def slices(texts: list[bytes], most: int = 1 << 20) -> Iterator[list[bytes]]:
+_hasher: list[Hasher] = []
+
+
+def hasher() -> Hasher:
+    """The worker's hasher."""
+    if not _hasher:
+        _hasher.append(Hasher())
+    return _hasher[0]
+
+
+def slices(texts: list[bytes], most: int = 1 << 19) -> Iterator[list[bytes]]:
     """Consecutive runs of about `most` bytes, whole texts each."""
     part: list[bytes] = []
     size = 0

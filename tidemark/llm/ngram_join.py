@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPREAD, U64, Hasher, cut, filter_of, hit, ids_and_texts, mix, runs, sketch, texts_of
+from .common import SPREAD, U64, cut, filter_of, hasher, hit, ids_and_texts, mix, runs, sketch, texts_of
 
 SKETCH_BITS = 20
 #: log2 of the bits in the odd sketch of a set.
@@ -52,17 +52,13 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 
 class Sets:
-    """Shingle sets of batches of (doc_id, text); the hasher is made once in each worker."""
-
-    hasher: Hasher | None = None
+    """Shingle sets of batches of texts."""
 
     def __init__(self, size: int) -> None:
         self.size = size
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
-        if Sets.hasher is None:
-            Sets.hasher = Hasher()
-        return Sets.hasher.shingle_sets(texts, self.size)
+        return hasher().shingle_sets(texts, self.size)
 
 
 def odd_sketch(s: np.ndarray) -> bytes:

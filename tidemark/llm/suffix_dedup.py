@@ -30,24 +30,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Hasher, cut, filter_of, hit, mix, runs, slices, texts_of
+from .common import U64, cut, filter_of, hasher, hit, mix, runs, slices, texts_of
 
 LENGTH, GRAM = 200, 32
 #: Distinct runs of one anchor that are sorted in one task.
 GROUP_MOST = 12_000
 #: Suffix bytes that are sorted together.
-LOT_BYTES = 1 << 20
+LOT_BYTES = 1 << 19
 PLACE_BITS = 24
 
-_hasher: list[Hasher] = []
-
-
-def hasher() -> Hasher:
-    if not _hasher:
-        _hasher.append(Hasher())
-    return _hasher[0]
-
-
 def longs(x: int) -> tuple[int, int]:
     """A 128-bit number as two signed longs."""
     a, b = x >> 64, x & (1 << 64) - 1
@@ -282,7 +273,7 @@ def repeated_windows(chunks: list[bytes], groups: list[int], anchors_at: list[in
     for bits in range(1, int(members.max(initial=1) - 1).bit_length() + 1):
         m = 1 << bits
         chosen = np.flatnonzero((members > m // 2) & (members <= m))
-        most = max(1, (1 << 17) // m)
+        most = max(1, (1 << 15) // m)
         for i in range(0, len(chosen), most):
             own = chosen[i : i + most]
             index = first[own][:, None] + np.arange(m)[None, :]

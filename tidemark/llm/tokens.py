@@ -14,8 +14,10 @@ from itertools import repeat
 
 import numpy as np
 
+from .common import give_back
+
 #: Pieces that a worker remembers before it starts anew.
-REMEMBERED = 700_000
+REMEMBERED = 300_000
 #: How a byte-level vocabulary writes a space, and how one of words marks their ends.
 SPACE_SIGN, WORD_END = "\u0120", "</w>"
 POINTS = frozenset(".,;:!?")
@@ -68,6 +70,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray] = []
+        give_back()
         for part in parts(texts):
             if len(self.known) > REMEMBERED:
                 self.forget()
@@ -158,7 +161,7 @@ class Encoder:
         return [every[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
-def parts(texts: list[str], most: int = 1 << 22) -> Iterator[list[str]]:
+def parts(texts: list[str], most: int = 1 << 21) -> Iterator[list[str]]:
     part: list[str] = []
     size = 0
     for t in texts:
