@@ -17,7 +17,7 @@ import numpy as np
 from .common import give_back
 
 #: Pieces that a worker remembers before it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 1_000_000
 #: How a byte-level vocabulary writes a space, and how one of words marks their ends.
 SPACE_SIGN, WORD_END = "\u0120", "</w>"
 POINTS = frozenset(".,;:!?")
