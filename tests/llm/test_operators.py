@@ -164,6 +164,21 @@ def test_language_model(docs, no_docs):
     assert maxent_lm.score(no_docs).count() == 0
 
 
+def test_language_model_learns_every_token(spark):
+    # texts of three words: their end has the class 0, a class of its own
+    texts = [b"aa bb cc", b"", b"dd"]
+    h, s, bounds = maxent_lm.words(texts)
+    own = np.array([maxent_lm.END, h[0]], np.uint64)
+    model = maxent_lm.Model(own, np.zeros((maxent_lm.ROWS, maxent_lm.GROUPS + maxent_lm.CLASSES), np.float32))
+    f, c = maxent_lm.targets(model, h, s, bounds)
+    assert len(f) == len(c) == 4 + 1 + 2 and np.flatnonzero(c == 0).tolist() == [3, 4, 6]
+    # and training raises the end from its even start, for texts of one word and of three
+    train = spark.createDataFrame([(i, "dd" if i % 2 else "aa bb cc", 0) for i in range(400)], "doc_id bigint, text string, part int")
+    model.weights = maxent_lm.trained(train, own, model.weights, 1, 0.1)
+    p = 10 ** model.log10(f, c)
+    assert (p[[3, 6]] > 2 / maxent_lm.CLASSES).all()
+
+
 @pytest.mark.parametrize("most", [12_000, 1])
 def test_suffix_dedup(docs, no_docs, spark, most):
     extra = spark.createDataFrame([(50, "ab" * 300), (51, "p" * 40 + "".join(chr(97 + i * i % 23) for i in range(260)) + "q" * 30), (52, "r" * 70 + "".join(chr(97 + i * i % 23) for i in range(230)) + "zz")], "doc_id bigint, text string")

@@ -8,8 +8,7 @@ of the class (with 0.1 added to each count and to one slot for all unknown words
 
 Training: rounds of distributed AdaGrad. In a round each task starts from the common weights, makes sparse numpy batches
 of its documents and sends its weights, of fixed size; their mean by tokens is the next round's start. Every training
-document serves in one round, with every `stride`-th token as a target (the phase follows the text's length), so what
-is learnt from grows with the corpus.
+document serves in one round, with each of its tokens, the end among them, as a target.
 
 Counts are exact over all training documents. Documents are dealt to chunks of about `chunk_tokens` tokens by a hash; a
 chunk sends each of its words once (as a 64-bit hash) with its count, totals come back to the chunk, and its documents
@@ -39,7 +38,7 @@ OWN = CLASSES // 2  # classes of single words, the end token the first of them
 FEATURES = (1024, 1024, 2048)
 ROWS = sum(FEATURES) + 1
 ADDED = 0.1
-ROUNDS, STRIDE, RATE, BATCH = 2, 4, 0.1, 4096
+ROUNDS, RATE, BATCH = 2, 0.1, 4096
 CHUNK_TOKENS = 2 << 20
 END = 0x5851F42D4C957F2D
 BLOCK = 1 << 16
@@ -91,8 +90,8 @@ class Model:
         below = self.weights[:, GROUPS:].reshape(ROWS * GROUPS, GROUPS)
         one, two = np.zeros((len(f), GROUPS), np.float32), np.zeros((len(f), GROUPS), np.float32)
         for k in range(f.shape[1]):
-            one += top[f[:, k]]
-            two += below[f[:, k] * GROUPS + g]
+            one += top.take(f[:, k], axis=0)
+            two += below.take(f[:, k] * GROUPS + g, axis=0)
         return one, two
 
     def log10(self, f: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -120,19 +119,22 @@ class Model:
             x[line, y] -= 1
             grads.append(x)
         for rows, grad, at, width in ((f, grads[0], slice(0, GROUPS), 1), (f * GROUPS + g[:, None], grads[1], slice(GROUPS, None), GROUPS)):
-            flat = rows.ravel(order="F")
-            used, index = np.unique(flat, return_inverse=True)
-            total = np.stack([np.bincount(index, weights=np.tile(grad[:, j], rows.shape[1]), minlength=len(used)) for j in range(GROUPS)], axis=1) / len(c)
-            w, q = (m[:, at].reshape(ROWS * width, GROUPS) if width == 1 else m[:, at] for m in (self.weights, squares))
-            if width == 1:
-                q[used] += total**2
-                self.weights[used, :GROUPS] -= rate * total / np.sqrt(q[used] + 1e-8)
-                squares[used, :GROUPS] = q[used]
-            else:
-                r, b = np.divmod(used, GROUPS)
-                cols = GROUPS + b[:, None] * GROUPS + np.arange(GROUPS)[None, :]
-                squares[r[:, None], cols] += total**2
-                self.weights[r[:, None], cols] -= rate * total / np.sqrt(squares[r[:, None], cols] + 1e-8)
+            # rows of weights in order, each beside its tokens' gradients; all but those of the constant fit 16 bits
+            flat = rows[:, :-1].ravel(order="F").astype(np.uint16)
+            order = np.argsort(flat, kind="stable")
+            flat = flat[order].astype(np.int64)
+            starts = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
+            lines = np.argsort(rows[:, -1].astype(np.uint16), kind="stable")
+            last = rows[lines, -1]
+            ends = np.flatnonzero(np.append(True, last[1:] != last[:-1]))
+            used = np.concatenate((flat[starts], last[ends]))
+            wide = grad.astype(np.float64)
+            total = np.concatenate((np.add.reduceat(wide.take(order % len(c), axis=0), starts, axis=0), np.add.reduceat(wide.take(lines, axis=0), ends, axis=0))) / len(c)
+            r, b = np.divmod(used, width)
+            w, q = (m[:, at].reshape(ROWS, width, GROUPS) for m in (self.weights, squares))
+            s = q[r, b] + total * total
+            q[r, b] = s
+            w[r, b] -= rate * total / np.sqrt(s + 1e-8)
 
 
 def places(bounds: np.ndarray, n: int) -> np.ndarray:
@@ -140,7 +142,12 @@ def places(bounds: np.ndarray, n: int) -> np.ndarray:
     return np.arange(n) - np.repeat(bounds[:-1], np.diff(bounds))
 
 
-def trained(train: DataFrame, own: np.ndarray, weights: np.ndarray, rounds: int, stride: int, rate: float) -> np.ndarray:
+def targets(model: Model, h: np.ndarray, suffix: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Features and class of every token of some training texts."""
+    return model.features(h, places(bounds, len(h))), model.classes(h, suffix)
+
+
+def trained(train: DataFrame, own: np.ndarray, weights: np.ndarray, rounds: int, rate: float) -> np.ndarray:
     """Weights after some rounds over disjoint parts of the training documents. train: doc_id, text, part."""
     context = train.sparkSession.sparkContext
     schema = pa.schema([("part", pa.int64()), ("block", pa.int32()), ("n", pa.float64()), ("sums", pa.binary())])
@@ -155,11 +162,7 @@ def trained(train: DataFrame, own: np.ndarray, weights: np.ndarray, rounds: int,
             held: list[tuple[np.ndarray, np.ndarray]] = []
             for b in batches:
                 h, s, bounds = words(texts_of(b.column(1)))
-                place = places(bounds, len(h))
-                c = model.classes(h, s)
-                f = model.features(h, place)
-                target = np.flatnonzero((place + np.repeat(np.diff(bounds), np.diff(bounds))) % stride == 0)
-                held.append((f[target], c[target]))
+                held.append(targets(model, h, s, bounds))
                 if sum(len(x) for _, x in held) >= BATCH:
                     f, c = (np.concatenate(x) for x in zip(*held, strict=True))
                     held = []
@@ -194,7 +197,7 @@ def trained(train: DataFrame, own: np.ndarray, weights: np.ndarray, rounds: int,
     return weights
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, stride: int = STRIDE, rate: float = RATE, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, rate: float = RATE, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per row of docs."""
     spark = docs.sparkSession
     docs = ids_and_texts(docs, id_col, text_col)
@@ -254,7 +257,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", round
     shares = (mass + ADDED).reshape(GROUPS, GROUPS)  # training starts from the shares of groups and classes
     start[-1, :GROUPS] = np.log(shares.sum(axis=1) / shares.sum())
     start[-1, GROUPS:] = np.log(shares / shares.sum(axis=1, keepdims=True)).ravel()
-    weights = trained(docs.where("not held_out").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(rounds))), own, start, rounds, stride, rate)
+    weights = trained(docs.where("not held_out").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(rounds))), own, start, rounds, rate)
     shared = spark.sparkContext.broadcast((own, weights, mass, kinds))
     out = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
