@@ -42,3 +42,14 @@ def test_stream_and_batch_agree(spark, sf_dir):
     rows = lambda q: {r["wait_id"]: r["row_id"] for r in QUERIES[q](spark, sf_dir).collect()}
     batch, stream = rows("fifo_timeout_match"), rows("stream_wait_match")
     assert {k: v for k, v in batch.items() if v} == {k: v for k, v in stream.items() if v}
+
+
+def test_maps_read_whole_texts(spark, tmp_path):
+    texts = ["b" * 70, "A" + "c" * 50, "", "d" * 20, "E", "é" * 33, None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    n = lambda t: '{"n":%d}' % len(t or "")
+    found = {r.pos: (r.status, r.output) for r in QUERIES["memoised_map_texts"](spark, str(tmp_path)).collect()}
+    assert found == {i: ("completed" if i % 3 else "hit", n(t)) for i, t in enumerate(texts)}
+    found = {r.pos: (r.status, r.output, r.error) for r in QUERIES["collect_map_texts"](spark, str(tmp_path)).collect()}
+    bad = lambda i, t: i % 3 and (t or "")[:1] in "AEIOU"
+    assert found == {i: ("failed", None, f"ValueError: begins with {(t or '')[:1]}") if bad(i, t) else ("completed" if i % 3 else "hit", n(t), None) for i, t in enumerate(texts)}
