@@ -6,7 +6,7 @@ import math
 import duckdb
 import pytest
 
-from tidemark.plans.catalogue import ORACLE_SQL, QUERIES
+from tidemark.plans.catalogue import _cancels, ORACLE_SQL, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -53,3 +53,15 @@ def test_maps_read_whole_texts(spark, tmp_path):
     found = {r.pos: (r.status, r.output, r.error) for r in QUERIES["collect_map_texts"](spark, str(tmp_path)).collect()}
     bad = lambda i, t: i % 3 and (t or "")[:1] in "AEIOU"
     assert found == {i: ("failed", None, f"ValueError: begins with {(t or '')[:1]}") if bad(i, t) else ("completed" if i % 3 else "hit", n(t), None) for i, t in enumerate(texts)}
+
+
+def test_cancels_read_the_whole_journal(spark):
+    ended = [("a", i, "TaskScheduled", None) for i in range(1, 8)] + [("a", 8, "WorkflowCompleted", None)]
+    still = [("b", i, "TaskScheduled", None) for i in range(1, 8)] + [("b", 10, "WorkflowWaiting", None)]
+    j = spark.createDataFrame(ended + still, "run_id string, seq bigint, type string, error_message string")
+    assert [tuple(r) for r in _cancels(j).collect()] == [("b", 11, "WorkflowCancelled")]
+
+
+def test_version_of_every_run(spark, sf_dir):
+    runs = {r.run_id for r in spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("cast(user_id as string) as run_id").distinct().collect()}
+    assert "7" in runs and {r.run_id for r in QUERIES["version_mismatch_all"](spark, sf_dir).collect()} == runs

@@ -610,3 +610,19 @@ def command_log(spark, d):
 def cancel_runs(spark, d):
     st = fold.run_status(journal(spark, d).where("seq <= 6"))  # before most runs have ended
     return st.where(~F.col("status").isin("completed", "failed", "cancelled")).select("run_id", (F.col("n_events") + 1).alias("seq"), F.lit("WorkflowCancelled").alias("type"))
+
+
+@query(J + " SELECT run_id, arg_min(code_version, seq) <> 'v1' AS mismatch FROM j GROUP BY run_id")
+def version_mismatch_all(spark, d):
+    return journal(spark, d).groupBy("run_id").agg((F.min_by("code_version", "seq") != "v1").alias("mismatch"))
+
+
+def _cancels(j: DataFrame) -> DataFrame:
+    """A WorkflowCancelled at the next free seq of each run that is open after its whole journal."""
+    open_runs = fold.run_status(j).where(~F.col("status").isin("completed", "failed", "cancelled")).select("run_id")
+    return j.join(open_runs, "run_id").groupBy("run_id").agg((F.max("seq") + 1).alias("seq")).withColumn("type", F.lit("WorkflowCancelled"))
+
+
+@query(J + SCAN + " SELECT run_id, max(seq) + 1 AS seq, 'WorkflowCancelled' AS type FROM j WHERE run_id IN (SELECT run_id FROM st WHERE status NOT IN ('completed', 'failed', 'cancelled')) GROUP BY run_id")
+def cancel_open_runs(spark, d):
+    return _cancels(journal(spark, d))
