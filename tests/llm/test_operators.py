@@ -198,6 +198,19 @@ def test_suffix_dedup(docs, no_docs, spark, most):
     assert suffix_dedup.suffix_dedup(no_docs).count() == 0
 
 
+def test_window_runs_of_texts_beyond_the_place_bits(monkeypatch):
+    passage = np.random.default_rng(5).integers(97, 123, 700, dtype=np.uint8)
+    data = np.concatenate((passage, np.random.default_rng(6).integers(97, 123, 2600, dtype=np.uint8), passage))
+    bounds = np.array([0, 900, len(data)])
+    want = suffix_dedup.window_runs(data, bounds, 200, 32)
+    monkeypatch.setattr(suffix_dedup, "PLACE_BITS", 9)
+    found = suffix_dedup.window_runs(data, bounds, 200, 32)
+    assert all((a == b).all() for a, b in zip(want, found, strict=True))
+    assert found[1].sum() == len(data) - 2 * 199
+    for s, a in zip(found[0].tolist(), found[2].view(np.int64).tolist(), strict=True):
+        assert 0 <= suffix_dedup.anchor_place(data[s : s + 200].tobytes(), a, 200) <= 168
+
+
 def test_chat(spark):
     hard = ["\\ <| <|> |> </s>[INST] ok [/INST] \\\\", "", None, "é中😀 <|end|>", "<|turn|>user<|text|>"]
     rows = [(1, i, "assistant" if i % 2 else "user", t) for i, t in enumerate(hard)] + [(None, 0, None, "x"), (1, 1, "assistant", "tie"), (2, None, "assistant", "y")]

@@ -60,15 +60,20 @@ def window_runs(data: np.ndarray, bounds: np.ndarray, length: int, gram: int) ->
     m = len(data) - gram + 1
     grams = mix((p[gram:] - p[:m]) * h.inverses[:m])
     width = length - gram + 1
-    keys = (grams >> U64(PLACE_BITS) << U64(PLACE_BITS)) | np.arange(m, dtype=U64)
-    # sliding minimum over `width` keys: minima from both ends of blocks
-    padded = np.full(-(-m // width) * width, np.iinfo(np.uint64).max, U64)
-    padded[:m] = keys
-    blocks = padded.reshape(-1, width)
-    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
-    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    least = np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
-    anchor = (least & U64((1 << PLACE_BITS) - 1)).astype(np.int64)
+    anchor = np.empty(n, np.int64)
+    step = (1 << PLACE_BITS) - width + 1
+    for a in range(0, n, step):  # pieces whose places fit PLACE_BITS
+        k = min(step, n - a)
+        piece = grams[a : a + k + width - 1]
+        keys = (piece >> U64(PLACE_BITS) << U64(PLACE_BITS)) | np.arange(len(piece), dtype=U64)
+        # sliding minimum over `width` keys: minima from both ends of blocks
+        padded = np.full(-(-len(keys) // width) * width, np.iinfo(np.uint64).max, U64)
+        padded[: len(keys)] = keys
+        blocks = padded.reshape(-1, width)
+        ahead = np.minimum.accumulate(blocks, axis=1).ravel()
+        behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+        least = np.minimum(behind[:k], ahead[width - 1 : width - 1 + k])
+        anchor[a : a + k] = (least & U64((1 << PLACE_BITS) - 1)).astype(np.int64) + a
     # windows of one text only
     valid = np.zeros(n, bool)
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
