@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import io
+import itertools
 import math
 import re
 import zlib
@@ -98,6 +99,34 @@ def test_decontamination(docs, spark, no_docs):
         assert decontaminate.distance(p, t)[0] == plain_distance(p, t)
 
 
+@pytest.mark.parametrize("n", [13, 20, 23, 25, 30, 37])
+def test_decontamination_finds_edits_at_any_place(n):
+    item = bytes(np.random.default_rng(n).integers(97, 123, n, dtype=np.uint8).tolist())
+    index = decontaminate.Index([(1, item)], decontaminate.ALLOWED, decontaminate.Q)
+    d = int(decontaminate.ALLOWED * n)
+    texts = []
+    for places in itertools.combinations(range(n), d):
+        for new, step in ((b"Q", 1), (b"", 1), (b"Q", 0)):
+            texts.append(b"before " + b"".join(new + item[i + step : i + 1] if i in places else item[i : i + 1] for i in range(n)) + b" after")
+    assert all(index.candidates(t) for t in texts)
+    found = index.finds(texts)
+    assert all(f[0][3] <= d for f in found if f)
+    assert sum(map(bool, found)) >= (0.95 if d > 1 else 1) * len(texts)  # the walks may miss a few
+
+
+def test_decontamination_looks_at_every_window_at_the_limit():
+    for n in range(95, 361):
+        item = bytes(np.random.default_rng(n).integers(97, 123, n, dtype=np.uint8).tolist())
+        index = decontaminate.Index([(1, item)], decontaminate.ALLOWED, decontaminate.Q)
+        d = int(decontaminate.ALLOWED * n)
+        for shift in range(0, n // d, 3):
+            text = bytearray(item)
+            text[shift :: n // d] = b"Q" * len(text[shift :: n // d])
+            for i in range(shift + d * (n // d), n, n // d):
+                text[i] = item[i]
+            assert 0 in index.candidates(bytes(text))
+
+
 def test_wavelet(docs, no_docs):
     values = np.random.default_rng(3).integers(0, 700, 3000)
     m = wavelet.WaveletMatrix.build(values)

@@ -2,7 +2,7 @@
 
 Items are few and of checked size, so they are broadcast. For every item at most d = allowed * length edits are allowed;
 cut into d + 1 stretches, an item that occurs with d edits leaves one stretch whole, so the exact stretches (rolling
-hashes of fixed-size q-grams) lead, without loss, to the windows worth a look. Each window has the item's size. Windows
+hashes of their first `q` bytes, or of all where they are shorter) lead, without loss, to the windows worth a look. Each window has the item's size. Windows
 and items go through CGK random walks (a character is copied to the embedding, and a random bit of step and character
 decides whether the walk moves on), so that edit distance becomes Hamming distance; `repeats` walks, each with `samples`
 sampled positions, form the LSH, whose number follows from the recall that is aimed at. A window that agrees with the
@@ -109,44 +109,52 @@ class Index:
         self.q, self.allowed = q, allowed
         self.items = [(i, t) for i, t in items if t]
         self.short = [(i, t) for i, t in self.items if len(t) < q]
-        self.table: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        #: gram length -> (gram -> (item, place)), and the filter of its keys
+        self.tables: dict[int, tuple[dict[int, list[tuple[int, int]]], np.ndarray]] = {}
         for k, (_, t) in enumerate(self.items):
             if len(t) >= q:
-                # d + 1 stretches of at least q bytes, and their leading q bytes
-                d = min(int(allowed * len(t)), len(t) // q - 1)
-                step = len(t) // (d + 1)
-                for j in range(d + 1):
-                    self.table[self.key(t[j * step : j * step + q])].append((k, j * step))
-        self.keys = np.array(sorted(self.table), U64)
-        self.filter = np.zeros(1 << 20, bool)
-        if len(self.keys):
-            self.filter[(self.keys >> U64(44)).astype(np.int64)] = True
+                # d + 1 stretches, and their leading q bytes, or all of them where they are shorter
+                d = int(allowed * len(t))
+                step = max(1, len(t) // (d + 1))
+                size = min(q, step)
+                table, likely = self.tables.setdefault(size, (defaultdict(list), np.zeros(1 << 20, bool)))
+                for j in range(min(d + 1, len(t))):
+                    key = self.key(t[j * step : j * step + size])
+                    table[key].append((k, j * step))
+                    likely[key >> 44] = True
         self.walks = Walks(max([1, *(len(t) for _, t in self.items)]))
         own = [t for _, t in self.items]
         self.sizes = np.array([len(t) for t in own], np.int64)
         self.sampled = [self.walks.samples(own, self.sizes, r) for r in range(REPEATS)] if own else []
 
     def key(self, gram: bytes) -> int:
-        return int(self.grams(np.frombuffer(gram, np.uint8))[0])
+        return int(next(self.grams(np.frombuffer(gram, np.uint8), [len(gram)]))[1][0])
 
-    def grams(self, data: np.ndarray) -> np.ndarray:
-        n = len(data) - self.q + 1
-        h = np.zeros(max(n, 0), U64)
+    @staticmethod
+    def grams(data: np.ndarray, sizes: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+        """(size, hash of every gram of that many bytes) for rising sizes, each grown from the last."""
         wide = data.astype(U64)
-        for j in range(self.q):
-            h = h * U64(0x100000001B3) + wide[j : j + n]
-        return mix(h)
+        h = np.zeros(len(data), U64)
+        at = 0
+        for size in sizes:
+            n = len(data) - size + 1
+            if n <= 0:
+                return
+            h = h[:n]
+            for j in range(at, size):
+                h = h * U64(0x100000001B3) + wide[j : j + n]
+            at = size
+            yield size, mix(h)
 
     def candidates(self, data: bytes) -> dict[int, list[int]]:
         """item -> likely starts of it in data."""
-        if len(data) < self.q or not len(self.keys):
-            return {}
-        h = self.grams(np.frombuffer(data, np.uint8))
-        likely = np.flatnonzero(self.filter[(h >> U64(44)).astype(np.int64)])
         found: dict[int, set[int]] = defaultdict(set)
-        for p in likely.tolist():
-            for k, at in self.table.get(int(h[p]), ()):
-                found[k].add(p - at)
+        for size, h in self.grams(np.frombuffer(data, np.uint8), sorted(self.tables)):
+            table, likely = self.tables[size]
+            places = np.flatnonzero(likely[(h >> U64(44)).astype(np.int64)])
+            for p, key in zip(places.tolist(), h[places].tolist(), strict=True):
+                for k, at in table.get(key, ()):
+                    found[k].add(p - at)
         return {k: sorted(v) for k, v in found.items()}
 
     def finds(self, texts: list[bytes]) -> list[list[tuple[int, int, int, int]]]:
