@@ -36,6 +36,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or our own where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
         found = OWN_CHECKPOINT_DIR
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -48,7 +50,17 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     # shuffle files of the finished job go when the driver's JVM collects what referred to them; ask for that now
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Remove what cut() wrote for these frames, once nothing that is still to be computed reads it."""
+    for df in frames:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df._cut_path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ship(spark: SparkSession) -> None:
