@@ -266,3 +266,40 @@ def test_pipeline_stages(docs, no_docs, spark, sf_dir):
         assert stage(spark, no_docs, sf_dir).count() == 0, name
     assert p.STAGES[2][1](spark, docs, sf_dir).count() == docs.count()
     assert p.STAGES[1][1](spark, docs, sf_dir).where(F.col("doc_id").isin(2, 3)).count() == 0
+
+
+@pytest.mark.parametrize("run_pairs", [4_000_000, 2])
+def test_ngram_join_of_dense_groups(spark, run_pairs):
+    # sets that share rare tokens without being similar, near copies of one text, and exact copies
+    random = np.random.default_rng(11)
+    rare = [[f"r{k}x{i}" for i in range(30)] for k in range(6)]
+    texts = []
+    for _ in range(60):
+        a, b = random.choice(6, 2, replace=False)
+        texts.append(" ".join(rare[a] + rare[b][: random.integers(5, 30)]))
+    base = [f"w{i}" for i in range(60)]
+    for _ in range(40):
+        new = list(base)
+        for k in random.choice(60, random.integers(1, 4), replace=False):
+            new[k] = f"n{random.integers(1000)}"
+        texts.append(" ".join(new))
+    texts += texts[:5]
+    dense = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    label = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 100 * len(a & sets[j]) >= 80 * len(a | sets[j]):
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    out = {r.doc_id: r.component_id for r in ngram_join.ngram_jaccard(dense, run_pairs=run_pairs).collect()}
+    assert out == dict(enumerate(label))
+
+
+def test_one_of_each_keeps_one_row_of_null_ids_and_odd_columns(spark):
+    text = " ".join(f"w{i}" for i in range(12))
+    rows = [(None, text, 1), (None, text, 2), (None, text, 3), (None, None, 4), (7, "a b", 5), (7, "a b", 6)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, `own_id` int").withColumn("a.b", F.lit(1)).withColumn("row", F.lit(2))
+    kept = ngram_join.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(None, text), (None, None), (7, "a b")])

@@ -12,9 +12,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.session import cut, shared_dir, ship
+from tidemark.session import cut, discard, shared_dir, ship
 
-__all__ = ["Hasher", "cut", "filter_of", "hit", "ids_and_texts", "mix", "prepare", "runs", "shared_dir", "sketch", "table", "texts_of"]
+__all__ = ["Bits", "Hasher", "cut", "discard", "filter_of", "ids_and_texts", "mix", "prepare", "runs", "shared_dir", "sketch", "table", "texts_of"]
 
 U64 = np.uint64
 #: Rows of whole texts in one Arrow batch; long texts make rows of 100 kB.
@@ -34,7 +34,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def ids_and_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns an operator needs, under names of our own; other columns cannot clash."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
 _calls = [0]
@@ -64,8 +64,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(32))
 
 
-#: log2 of the bits of the fixed-size filter that keeps rows without a partner out of a shuffle.
-FILTER_BITS = 22
+#: log2 of the most bits (16 MiB) of a filter that keeps rows without a partner out of a shuffle.
+FILTER_BITS = 27
 SPREAD = 0x9E3779B97F4A7C15
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -197,16 +197,29 @@ def sketch(df: DataFrame, keys, bits: int) -> np.ndarray:
     return out
 
 
-def hit(filter_bits: bytes, key: int) -> int:
-    """Is the key in a fixed-size filter (packed bits)?"""
-    k = (key * SPREAD % 2**64) >> (64 - (len(filter_bits) * 8).bit_length() + 1)
-    return filter_bits[k >> 3] >> (7 - (k & 7)) & 1
+class Bits:
+    """A set of hashed longs by their leading bits: a member is always found, others seldom."""
+
+    def __init__(self, bits: int) -> None:
+        self.bits, self.data = bits, np.zeros(max(1, 1 << bits >> 3), np.uint8)
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        k = keys.view(U64) >> U64(64 - self.bits)
+        return (self.data[(k >> U64(3)).astype(np.int64)] >> (k & U64(7)).astype(np.uint8) & 1).astype(bool)
 
 
 def filter_of(ids: DataFrame):
-    """Broadcast bits, of a fixed number, that hold every long of a one-column frame."""
-    keys = lambda b: b.column(0).to_numpy(zero_copy_only=False).view(U64) * U64(SPREAD)
-    return ids.sparkSession.sparkContext.broadcast(np.packbits(sketch(ids, keys, FILTER_BITS) > 0).tobytes())
+    """Broadcast bits that hold every (hashed, not null) long of a one-column frame, sized by its rows up to FILTER_BITS.
+
+    Executors set the bits, so the driver gets at most 2**FILTER_BITS of them; with more rows the filter lets more pass.
+    """
+    found = Bits(min(FILTER_BITS, max(16, (16 * ids.count()).bit_length())))
+    place = F.shiftrightunsigned(ids.columns[0], 64 - found.bits).alias("place")
+    parts = ids.select(place).groupBy(F.shiftright("place", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("place").bitwiseAND(F.lit(32767))).alias("bits"))
+    for row in parts.collect():
+        own = np.frombuffer(row["bits"], np.uint8)
+        found.data[row["part"] * 4096 : (row["part"] + 1) * 4096] = own[: len(found.data) - row["part"] * 4096]
+    return ids.sparkSession.sparkContext.broadcast(found)
 
 
 def runs(batches: Iterator[pa.RecordBatch], key: int = 0) -> Iterator[list[np.ndarray]]:

@@ -1,18 +1,27 @@
 """N-gram Jaccard self-join and its connected components (operator 1).
 
-Method: prefix filtering under several global orders. A pair of Jaccard >= t shares a token among the first
-n - ceil(t * n) + 1 tokens of both sets under *every* total order of tokens. The first order (rare tokens first, by a
-fixed-size count sketch over all documents) makes the candidates; the prefixes under two further, independent orders
-must intersect as well, before the sets are compared in full. Between the two, an odd sketch of each set (256 bytes)
-bounds the overlap from above and drops pairs that cannot reach t, so texts travel only for pairs that may link.
-
-Copies: documents with the same shingle set are one class, and only classes are joined. Within the documents that share
-a prefix token, links go first to a few anchors, so a group of g near copies costs about g comparisons; what is then
-still in different components and shares a prefix token is compared pair by pair, so no link between components is lost.
+Method: prefix filters under several global orders of the shingles, intersected before anything is verified. A pair of
+Jaccard >= t shares a token among the first n - ceil(t * n) + 1 tokens of both sets under *every* total order.
+
+1. One pass makes a signature of every set: its prefix under the first order (rare tokens first, by a fixed-size count
+   sketch over all documents), its prefixes under two independent orders (16 or 32 bits a token: tokens that are equal
+   stay equal), and a small odd sketch.
+2. The first order is the index. Tokens that two or three sets share give their pairs by one aggregation. Sets that share
+   a more frequent token are paired with three of them, the anchors.
+3. Pairs whose prefixes do not meet under the second and the third order go, before any text moves. The others are
+   verified on their whole sets, and the links contracted to components.
+4. What still lies in different components under a frequent token is compared within the token's run, by size, place and
+   odd sketch. A run with too many such pairs is split by the tokens of the second order, then of the third: sets that
+   may link share one of each, so the index under several orders at once loses nothing. Its pairs pass step 3 too.
+
+Copies: documents with the same shingle set are one class, and only classes are joined. A group of g near copies costs
+about g comparisons; pairs within a component are not made, so no link between components is lost and links are not
+counted.
 
 Defined cases: null or blank text has an empty set, is linked with nothing and is its own component; fewer words than
-the shingle size make one shingle; a repeated id is one more document of that id; a null id stays null and never names
-a component (a component of null ids only has a null component_id); an empty table gives an empty result.
+the shingle size make one shingle; a text of any length is one set; equal sets tie on their least id; a repeated id is
+one more document of that id; a null id stays null and never names a component (a component of null ids only has a null
+component_id); other columns of docs are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,14 +35,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPREAD, U64, cut, filter_of, hasher, hit, ids_and_texts, mix, runs, sketch, texts_of
+from .common import SPREAD, U64, cut, discard, filter_of, hasher, ids_and_texts, mix, runs, sketch, texts_of
 
 SKETCH_BITS = 20
 #: log2 of the bits in the odd sketch of a set.
-ODD_BITS = 11
-EMPTY = (1 << ODD_BITS) // 32
+ODD_BITS = 9
 #: Independent token orders, besides the first, whose prefixes must intersect.
 ORDERS = (0x27D4EB2F165667C5, 0xC2B2AE3D27D4EB4F)
+#: Prefixes of at most so many tokens have 16 bits a token, longer ones 32.
+NARROW = 128
+#: Rows of frequent tokens that may be broadcast; more are joined by a shuffle.
+BROADCAST_TOKENS = 1_000_000
+#: Pairs in different components that one run of a token may compare; a run with more is split by another order.
+RUN_PAIRS = 4_000_000
+#: Pairs that a task holds, to send each once.
+HELD_PAIRS = 1 << 19
 
 
 def prefix_length(n: int, t: Fraction) -> int:
@@ -47,257 +63,264 @@ def digest(s: np.ndarray) -> tuple[int, int]:
     return a - (a >> 63 << 64), b - (b >> 63 << 64)
 
 
-def signed(x: np.ndarray) -> np.ndarray:
-    return x.view(np.int64)
-
-
-class Sets:
-    """Shingle sets of batches of texts."""
-
-    def __init__(self, size: int) -> None:
-        self.size = size
-
-    def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
-        return hasher().shingle_sets(texts, self.size)
-
-
 def odd_sketch(s: np.ndarray) -> bytes:
     """Bit i is the parity of the members that hash to i: the sketches of two sets differ in at most as many bits as the sets."""
     return np.packbits(np.bincount((mix(s ^ U64(SPREAD)) >> U64(64 - ODD_BITS)).astype(np.int64), minlength=1 << ODD_BITS) & 1).tobytes()
 
 
-def folded(sketch: bytes) -> bytes:
-    """A shorter odd sketch of the same set: quarters added without carry."""
-    return np.bitwise_xor.reduce(np.frombuffer(sketch, np.uint64).reshape(4, -1)).tobytes()
+def rank_levels(docs: DataFrame, size: int, bits: int = SKETCH_BITS) -> np.ndarray:
+    """For each counter of the sketch the octave of its count: common shingles come last in the first order."""
+    counts = sketch(docs, lambda b: np.concatenate([np.zeros(0, U64), *hasher().shingle_sets(texts_of(b.column(1)), size)]), bits)
+    return np.floor(2 * np.log2(np.maximum(counts, 1))).astype(np.uint8)
 
 
-def document_sets(docs: DataFrame, size: int, wanted) -> DataFrame:
-    """doc_id, n_shingles, d1, d2 (digest of the set; null where it is empty), sketch (odd sketch, for wanted sets, once in a task), small (the sketch folded to 64 bytes)."""
-    sets = Sets(size)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("sketch", pa.binary()), ("small", pa.binary()), ("text_hash", pa.int64())])
+def first_prefix(s: np.ndarray, t: Fraction, levels: np.ndarray) -> np.ndarray:
+    """The prefix under the first order, in that order."""
+    bits = int(math.log2(len(levels)))
+    rank = (levels[(s >> U64(64 - bits)).astype(np.int64)].astype(U64) << U64(56)) | (mix(s) >> U64(8))
+    k = prefix_length(len(s), t)
+    first = np.argpartition(rank, k - 1)[:k] if k < len(s) else np.arange(len(s))
+    return s[first[np.argsort(rank[first])]]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
-        for b in batches:
-            found = sets(texts_of(b.column(1)))
-            ds = [digest(s) if len(s) else (None, None) for s in found]
-            sketches = []
-            for s, d in zip(found, ds, strict=True):
-                new = d[0] is not None and d not in seen and hit(wanted.value, d[0])
-                sketches.append(odd_sketch(s) if new else None)
-                if new:
-                    seen.add(d)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in found], pa.int64()), *(pa.array([d[i] for d in ds], pa.int64()) for i in (0, 1)), pa.array(sketches, pa.binary()), pa.array([x and folded(x) for x in sketches], pa.binary()), b.column(2)], schema=schema)
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, sketch binary, small binary, text_hash long")
+def other_prefix(s: np.ndarray, order: int, t: Fraction) -> bytes:
+    """The prefix under the order of mix(token ^ order): the high bits of another hash of its tokens."""
+    k = prefix_length(len(s), t)
+    by = mix(s ^ U64(order))
+    if k < len(s):
+        by = by[np.argpartition(by, k - 1)[:k]]
+    bits = 16 if k <= NARROW else 32
+    return (mix(by) >> U64(64 - bits)).astype(f"<u{bits // 8}").tobytes()
 
 
-def promising(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
-    """The pairs (a, b) whose sizes and odd sketches allow a Jaccard of t."""
-    low, high = t.numerator, t.denominator
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def signatures(docs: DataFrame, size: int, t: Fraction, levels) -> DataFrame:
+    """doc_id, text_hash, n_shingles, d1, d2 (digest of the set; null where it is empty) of every document and, once for each set of a task: first, second, third (prefixes) and small (odd sketch)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("first", pa.list_(pa.int64())), ("second", pa.binary()), ("third", pa.binary()), ("small", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # 8 bytes a set; forgetting only sends a copy again
         for b in batches:
-            if b.num_rows:
-                x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint64).reshape(b.num_rows, -1) for i in (2, 4))
-                n, m = (b.column(i).to_numpy(zero_copy_only=False) for i in (3, 5))
-                apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
-                overlap = (n + m - apart) // 2
-                good = pa.array((overlap * (high + low) >= low * (n + m)) & (high * np.minimum(n, m) >= low * np.maximum(n, m)))
-                yield pa.RecordBatch.from_arrays([b.column(0).filter(good), b.column(1).filter(good)], schema=schema)
+            if len(seen) > 1_000_000:
+                seen.clear()
+            ds, more = [], []
+            sizes = []
+            for s in hasher().shingle_sets(texts_of(b.column(1)), size):
+                d = digest(s) if len(s) else (None, None)
+                new = len(s) > 0 and d[0] not in seen
+                ds.append(d)
+                sizes.append(len(s))
+                more.append((first_prefix(s, t, levels.value).view(np.int64), *(other_prefix(s, o, t) for o in ORDERS), odd_sketch(s)) if new else (None,) * 4)
+                if new:
+                    seen.add(d[0])
+            columns = [b.column(0), b.column(2), pa.array(sizes, pa.int64()), *(pa.array([d[i] for d in ds], pa.int64()) for i in (0, 1))]
+            columns += [pa.array([m[i] for m in more], schema.field(5 + i).type) for i in range(4)]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    have = sets.where("sketch is not null").groupBy("d1", "d2").agg(F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n"))
-    one = have.select(F.col("d1").alias("a"), F.col("sketch").alias("sa"), F.col("n").alias("na"))
-    two = have.select(F.col("d1").alias("b"), F.col("sketch").alias("sb"), F.col("n").alias("nb"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "na", "sb", "nb").mapInArrow(run, "a long, b long").distinct()
+    return docs.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, d1 long, d2 long, first array<long>, second binary, third binary, small binary")
 
 
-def rank_levels(docs: DataFrame, size: int, bits: int = SKETCH_BITS) -> np.ndarray:
-    """For each counter of the sketch the octave of its count: common shingles come last in the first order."""
-    sets = Sets(size)
-    counts = sketch(docs, lambda b: np.concatenate([np.zeros(0, U64), *sets(texts_of(b.column(1)))]), bits)
-    return np.floor(2 * np.log2(np.maximum(counts, 1))).astype(np.uint8)
+def shared_tokens(posts: DataFrame) -> DataFrame:
+    """token, n (rows), x and y (least and greatest set), z (all of them by exclusive or) of tokens in the prefix of two sets or more."""
+    return posts.groupBy("token").agg(F.count("*").alias("n"), F.min("d1").alias("x"), F.max("d1").alias("y"), F.bit_xor("d1").alias("z")).where("x < y")
 
 
-def postings(docs: DataFrame, size: int, t: Fraction, levels) -> DataFrame:
-    """token, d1, place (set size << 32 | place of the token): the prefix under the first order of every distinct set."""
-    sets = Sets(size)
-    schema = pa.schema([("token", pa.int64()), ("d1", pa.int64()), ("place", pa.int64())])
+def few_pairs(tokens: DataFrame) -> DataFrame:
+    """All pairs (a, b) of the sets of tokens with at most three rows: the third one is what the other two leave of z."""
+    few = tokens.where("n <= 3").withColumn("m", F.expr("z ^ x ^ y"))
+    third = F.when((F.col("n") == 3) & (F.col("m") != F.col("x")) & (F.col("m") != F.col("y")), F.array(F.struct(F.least("x", "m").alias("a"), F.greatest("x", "m").alias("b")), F.struct(F.least("y", "m").alias("a"), F.greatest("y", "m").alias("b"))))
+    every = F.concat(F.array(F.struct(F.col("x").alias("a"), F.col("y").alias("b"))), F.coalesce(third, F.array().cast("array<struct<a: long, b: long>>")))
+    return few.select(F.inline(every))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()  # of this task: copies within it are sent once
-        bits = int(math.log2(len(levels.value)))
-        for b in batches:
-            tokens, owners, places = [np.zeros(0, U64)], [], []
-            for s in sets(texts_of(b.column(1))):
-                if len(s) and (d := digest(s)) not in seen:
-                    seen.add(d)
-                    rank = (levels.value[(s >> U64(64 - bits)).astype(np.int64)].astype(U64) << U64(56)) | (mix(s) >> U64(8))
-                    k = prefix_length(len(s), t)
-                    first = np.argpartition(rank, k - 1)[:k] if k < len(s) else np.arange(len(s))
-                    first = first[np.argsort(rank[first])]
-                    tokens.append(s[first])
-                    owners.append(np.full(k, d[0], np.int64))
-                    places.append((len(s) << 32) + np.arange(k, dtype=np.int64))
-            if owners:
-                yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(tokens))), pa.array(np.concatenate(owners)), pa.array(np.concatenate(places))], schema=schema)
-
-    return docs.mapInArrow(run, "token long, d1 long, place long")
-
-
-def shared_only(posts: DataFrame) -> DataFrame:
-    """The postings whose token more than one set has in its prefix."""
-    schema = pa.schema([("token", pa.int64()), ("d1", pa.int64()), ("place", pa.int64())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # a run may reach over batches: the last row of one is held until the next is seen
-        last: list | None = None
-        for b in batches:
-            token, d1, place = (c.to_numpy(zero_copy_only=False) for c in b.columns)
-            if not len(token):
-                continue
-            if last is not None:
-                token, d1, place = (np.concatenate(([x], y)) for x, y in zip(last[:3], (token, d1, place), strict=True))
-            same = token[1:] == token[:-1]
-            keep = np.zeros(len(token), bool)
-            keep[1:] |= same
-            keep[:-1] |= same
-            if last is not None:
-                keep[0] |= last[3]
-            last = [token[-1], d1[-1], place[-1], bool(keep[-1])]
-            keep[-1] = False
-            if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (token, d1, place)], schema=schema)
-        if last is not None and last[3]:
-            yield pa.RecordBatch.from_pydict({"token": [last[0]], "d1": [last[1]], "place": [last[2]]}, schema=schema)
-
-    return posts.repartition("token").sortWithinPartitions("token").mapInArrow(run, "token long, d1 long, place long")
-
-
-def anchors(posts: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b): every set of a run with the run's two anchors and its neighbour in size.
-
-    An anchor is the set of the least hash, so runs of one group agree on it; aggregation gives the anchors with
-    map-side combining, and no run is gathered.
+def anchor_pairs(posts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of every set with its token's anchors.
+
+    An anchor is the set of the least or greatest hash, so tokens of one group agree on it; aggregation gives the
+    anchors with map-side combining, and no run is gathered.
     """
     h1, h2 = F.xxhash64("d1", F.lit(1)), F.xxhash64("d1", F.lit(2))
     best = posts.groupBy("token").agg(F.min_by("d1", h1).alias("x1"), F.min_by("d1", h2).alias("x2"), F.max_by("d1", h1).alias("x3"))
-    joined = posts.select("token", "d1").join(best, "token")
-    pairs = joined.select(F.col("d1").alias("u"), F.explode(F.array_distinct(F.array("x1", "x2", "x3"))).alias("v")).where("u != v")
-    return pairs.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+    pairs = posts.select("token", "d1").join(best, "token").select(F.col("d1").alias("u"), F.explode(F.array_distinct(F.array("x1", "x2", "x3"))).alias("v")).where("u != v")
+    return pairs.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
 
 
-def across(posts: DataFrame, labels: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
-    """Pairs (a, b) of a run that lie in different components, after the filters on size, place and small odd sketch.
+def meet(x: bytes, n: int, y: bytes, m: int, t: Fraction) -> bool:
+    """May two prefixes (of sets of n and m) have a token in common? Of different widths, the high 16 bits decide."""
+    wide = [prefix_length(k, t) > NARROW for k in (n, m)]
+    a, b = (np.frombuffer(v, np.uint32 if w else np.uint16) for v, w in zip((x, y), wide, strict=True))
+    if wide[0] != wide[1]:
+        a, b = (v >> 16 if w else v for v, w in zip((a, b), wide, strict=True))
+    return bool(np.isin(a, b).any())
 
-    A run of one component is dropped by an aggregate with map-side combining before anything is gathered. The rest is
-    compared within sorted runs, row against block; only pairs that pass the filters become rows.
+
+def meeting(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
+    """The pairs (a, b) whose sizes and odd sketches allow a Jaccard of t and whose prefixes meet under every order."""
+    low, high = t.numerator, t.denominator
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            n, m = (b.column(i).to_numpy(zero_copy_only=False) for i in (2, 6))
+            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint64).reshape(b.num_rows, -1) for i in (5, 9))
+            overlap = (n + m - np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)) // 2
+            good = (overlap * (high + low) >= low * (n + m)) & (high * np.minimum(n, m) >= low * np.maximum(n, m))
+            p = [b.column(i).to_pylist() for i in (3, 4, 7, 8)]
+            for i in np.flatnonzero(good).tolist():
+                good[i] = all(meet(p[k][i], int(n[i]), p[2 + k][i], int(m[i]), t) for k in (0, 1))
+            if good.any():
+                keep = pa.array(good)
+                yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], schema=schema)
+
+    have = sets.where("small is not null").select("d1", "d2", F.struct(F.col("n_shingles").alias("n"), "second", "third", "small").alias("s")).dropDuplicates(["d1", "d2"])
+    one = have.select(F.col("d1").alias("a"), F.col("s").alias("p"))
+    two = have.select(F.col("d1").alias("b"), F.col("s").alias("q"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "p.*", *(F.col(f"q.{c}").alias(f"q_{c}") for c in ("n", "second", "third", "small"))).mapInArrow(run, "a long, b long").distinct()
+
+
+def across(posts: DataFrame, labels: DataFrame, sets: DataFrame, t: Fraction, run_pairs: int = RUN_PAIRS) -> DataFrame:
+    """Pairs (a, b) of a token's run that lie in different components, after the filters on size, place and odd sketch.
+
+    posts: token, d1, n_shingles, place. Counts with map-side combining find the runs of more than one component, and
+    those with more than run_pairs pairs to compare; these are split by the tokens of the second, then the third order.
     """
-    named = posts.join(labels, "d1", "left").select("token", "d1", "place", F.coalesce("component", "d1").alias("component"))
-    mixed = named.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
-    # a first half of a digest that two sets share has no sketch and is not filtered
-    small = sets.where("small is not null").groupBy("d1").agg(F.when(F.min("d2") == F.max("d2"), F.first("small")).alias("small"))
-    left = named.join(mixed, "token", "left_semi").join(small, "d1", "left").select("token", "d1", "place", "component", F.coalesce("small", F.lit(b"")).alias("small"))
     low, high = t.numerator, t.denominator
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for token, d1, place, component, small in runs(batches):
+        held: list[np.ndarray] = []
+        size = 0
+
+        def distinct() -> np.ndarray:
+            every = np.concatenate(held)
+            return every[np.unique(every.view("i8,i8"), return_index=True)[1]]
+
+        for token, d1, n_all, place, component, small in runs(batches):
             bounds = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1], [True])))
-            out: list[np.ndarray] = []
-            held = 0
             for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                n, p = place[s:e] >> 32, place[s:e] & 0xFFFFFFFF
-                order = np.argsort(n, kind="stable")
-                d, c, n, p = d1[s:e][order], component[s:e][order], n[order], p[order]
-                if c[0] == c[-1] and (c == c[0]).all():
+                order = np.argsort(n_all[s:e], kind="stable") + s
+                d, c, n, p = d1[order], component[order], n_all[order], place[order]
+                if (c == c[0]).all():
                     continue
-                known = np.array([len(x) > 0 for x in small[s:e][order]])
-                sketches = np.frombuffer(b"".join(x or bytes(EMPTY) for x in small[s:e][order]), np.uint64).reshape(len(n), -1)
-                for i in range(0, len(n) - 1):
-                    # sizes: high * n_i >= low * n_j; position: the rest of both sets must still reach the overlap
-                    stop = int(np.searchsorted(n, high * n[i] // low, side="right"))
-                    j = slice(i + 1, stop)
-                    rest = np.minimum(n[i] - p[i], n[j] - p[j])
+                sketches = np.frombuffer(b"".join(small[order]), np.uint64).reshape(len(n), -1)
+                for i in range(len(n) - 1):
+                    # sizes: high * n_i >= low * n_j; place: the rest of both sets must still reach the overlap
+                    j = slice(i + 1, int(np.searchsorted(n, high * n[i] // low, side="right")))
                     # whole-number overlap for Jaccard >= t: o * (high + low) >= low * (n_i + n_j)
-                    good = (c[j] != c[i]) & ((rest + np.minimum(p[i], p[j])) * (high + low) >= low * (n[i] + n[j]))
-                    if known[i] and good.any():
-                        apart = np.bitwise_count(sketches[j] ^ sketches[i]).sum(axis=1, dtype=np.int64)
-                        good &= ~known[j] | ((n[i] + n[j] - apart) // 2 * (high + low) >= low * (n[i] + n[j]))
-                    if good.any():
-                        other = d[j][good]
-                        out.append(np.stack((np.minimum(other, d[i]), np.maximum(other, d[i]))))
-                        held += len(other)
-                        if held > 100_000:
-                            a, b = np.unique(np.concatenate(out, axis=1), axis=1)
-                            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema)
-                            out, held = [], 0
-            if held:
-                a, b = np.unique(np.concatenate(out, axis=1), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema)
-
-    return left.repartition("token").sortWithinPartitions("token").mapInArrow(run, "a long, b long").distinct()
-
-
-def texts_by_set(docs: DataFrame, size: int, wanted) -> DataFrame:
-    """d1, d2, text: a text of each set that the fixed-size filter lets through; copies in a task are sent once."""
-    sets = Sets(size)
-    schema = pa.schema([("d1", pa.int64()), ("d2", pa.int64()), ("text", pa.binary())])
+                    need = low * (n[i] + n[j])
+                    at = np.flatnonzero((c[j] != c[i]) & ((np.minimum(n[i] - p[i], n[j] - p[j]) + np.minimum(p[i], p[j])) * (high + low) >= need))
+                    if len(at):
+                        other = at + i + 1
+                        apart = np.bitwise_count(sketches[other] ^ sketches[i]).sum(axis=1, dtype=np.int64)
+                        other = other[(n[i] + n[other] - apart) // 2 * (high + low) >= need[at]]
+                        if len(other):
+                            held.append(np.stack((np.minimum(d[other], d[i]), np.maximum(d[other], d[i])), axis=1))
+                            size += len(other)
+                if size > 2 * HELD_PAIRS:  # a pair shares many tokens, and goes out once in a task
+                    held = [distinct()]
+                    size = len(held[0])
+                    if size > HELD_PAIRS:
+                        yield pa.RecordBatch.from_arrays([pa.array(held[0][:, 0]), pa.array(held[0][:, 1])], schema=schema)
+                        held, size = [], 0
+        if held:
+            out = distinct()
+            yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], schema=schema)
+
+    def finer(order: str, posts: DataFrame) -> DataFrame:
+        """The same postings under token and each token of another prefix (its high 16 bits)."""
+        own = sets.where("small is not null").select("d1", "n_shingles", order).dropDuplicates(["d1", "n_shingles"])
+        narrow = prefix_length_at_most(NARROW, t)
+
+        def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                token, n = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
+                parts = [np.unique(np.frombuffer(v, np.uint16) if k <= narrow else np.frombuffer(v, np.uint32) >> 16) for v, k in zip(b.column(5).to_pylist(), n.tolist(), strict=True)]
+                lengths = np.array([len(x) for x in parts], np.int64)
+                which = np.repeat(np.arange(b.num_rows), lengths)
+                keys = mix(token.view(U64)[which] + np.concatenate([np.zeros(0, U64), *(x.astype(U64) for x in parts)]) * U64(SPREAD)).view(np.int64)
+                for i in range(0, len(which), 100_000):
+                    k = slice(i, i + 100_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[k]), *(b.column(j).take(pa.array(which[k])) for j in (1, 2, 3, 4))], names=["token", "d1", "n_shingles", "place", "component"])
+
+        return posts.join(own, ["d1", "n_shingles"]).select("token", "d1", "n_shingles", "place", "component", order).mapInArrow(split, "token long, d1 long, n_shingles long, place long, component long")
+
+    def weighed(posts: DataFrame) -> DataFrame:
+        """posts, with the pairs of different components of their token: none are left out."""
+        c = posts.groupBy("token", "component").agg(F.count("*").cast("double").alias("c"))
+        pairs = c.groupBy("token").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("pairs")).where("pairs > 0")
+        return cut(posts.join(pairs, "token"), "runs")
+
+    now = weighed(posts.join(labels, "d1", "left").select("token", "d1", "n_shingles", "place", F.coalesce("component", "d1").alias("component")))
+    parts = []
+    for order in ("second", "third"):
+        parts.append(now.where(F.col("pairs") <= run_pairs).drop("pairs"))
+        now = now.where(F.col("pairs") > run_pairs).drop("pairs")
+        if now.isEmpty():
+            break
+        now = weighed(finer(order, now))
+    else:
+        parts.append(now.drop("pairs"))  # they share tokens under all three orders
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.union(part)
+    small = sets.where("small is not null").select("d1", "n_shingles", "small").dropDuplicates(["d1", "n_shingles"])
+    joined = every.join(small, ["d1", "n_shingles"]).select("token", "d1", "n_shingles", "place", "component", "small")
+    return joined.repartition("token").sortWithinPartitions("token").mapInArrow(run, "a long, b long").distinct()
+
+
+def prefix_length_at_most(k: int, t: Fraction) -> int:
+    """The largest set size whose prefix has at most k tokens."""
+    n = k
+    while prefix_length(n + 1, t) <= k:
+        n += 1
+    return n
+
+
+def texts_by_set(docs: DataFrame, sets: DataFrame, ends: DataFrame) -> DataFrame:
+    """d1, d2, text of the sets that ends (d1) names: one text of each, fetched by its hash."""
+    chosen = cut(sets.where("d1 is not null").join(ends, "d1", "left_semi").groupBy("d1", "d2").agg(F.min("text_hash").alias("text_hash")), "chosen")
+    likely = filter_of(chosen.select("text_hash"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
+        seen: set[int] = set()
         for b in batches:
-            texts = texts_of(b.column(1))
-            rows = []
-            for s, text in zip(sets(texts), texts, strict=True):
-                if len(s) and (d := digest(s)) not in seen and hit(wanted.value, d[0]):
-                    seen.add(d)
-                    rows.append((*d, text))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+            keys = b.column(0).to_numpy(zero_copy_only=False)
+            keep = likely.value.has(keys)
+            for i in np.flatnonzero(keep).tolist():  # a task sends a text once
+                keep[i] = int(keys[i]) not in seen
+                seen.add(int(keys[i]))
+            if len(seen) > 1_000_000:
+                seen.clear()
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in b.columns], names=["text_hash", "text"])
 
-    return docs.mapInArrow(run, "d1 long, d2 long, text binary")
-
-
-def prefix_set(s: np.ndarray, order: int, t: Fraction) -> np.ndarray:
-    """The prefix under the order of mix(token ^ order), as the values of that order."""
-    k = prefix_length(len(s), t)
-    v = mix(s ^ U64(order))
-    return np.sort(np.partition(v, k - 1)[:k]) if k < len(v) else np.sort(v)
+    found = docs.select("text_hash", F.col("text").cast("binary").alias("text")).mapInArrow(run, "text_hash long, text binary")
+    return found.join(chosen, "text_hash").groupBy("d1", "d2").agg(F.min("text").alias("text"))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, size: int, t: Fraction) -> DataFrame:
-    """The pairs (a1, a2, b1, b2: digests) whose prefixes meet under the other orders and whose Jaccard is at least t."""
-    sets = Sets(size)
+    """The pairs (a1, a2, b1, b2: digests) whose sets have a Jaccard of at least t."""
     low, high = t.numerator, t.denominator
     schema = pa.schema([(x, pa.int64()) for x in ("a1", "a2", "b1", "b2")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[tuple[int, int], tuple[np.ndarray, list[np.ndarray]]] = {}
-
-        def made(ids: list[tuple[int, int]], texts: list[bytes]) -> None:
-            new = {d: x for d, x in zip(ids, texts, strict=True) if d not in kept}
-            for d, s in zip(new, sets(list(new.values())), strict=True):
-                kept[d] = s, [prefix_set(s, o, t) for o in ORDERS]
-
+        kept: dict[tuple[int, int], np.ndarray] = {}
+        held = 0
         for b in batches:
-            if len(kept) > 2000:
-                kept.clear()
             cols = [c.to_pylist() for c in b.columns]
             left, right = list(zip(cols[0], cols[1], strict=True)), list(zip(cols[3], cols[4], strict=True))
-            made(left, cols[2])
-            made(right, cols[5])
+            new = {d: x for d, x in (*zip(left, cols[2], strict=True), *zip(right, cols[5], strict=True)) if d not in kept}
+            for d, s in zip(new, hasher().shingle_sets(list(new.values()), size), strict=True):
+                kept[d] = s
+                held += len(s)
             rows = []
             for x, y in zip(left, right, strict=True):
-                (s, p), (u, q) = kept[x], kept[y]
-                if high * min(len(s), len(u)) < low * max(len(s), len(u)):
-                    continue
-                if not all(meet(v, w) for v, w in zip(p, q, strict=True)):
-                    continue
+                s, u = kept[x], kept[y]
                 inter = len(s) + len(u) - len(np.union1d(s, u))
                 if high * inter >= low * (len(s) + len(u) - inter):
                     rows.append((*x, *y))
+            if held > 1 << 20:
+                kept, held = {}, 0
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], schema=schema)
 
@@ -307,12 +330,6 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, t: Fraction) -> Data
     return joined.mapInArrow(run, "a1 long, a2 long, b1 long, b2 long")
 
 
-def meet(x: np.ndarray, y: np.ndarray) -> bool:
-    """Have two sorted arrays a value in common?"""
-    at = np.searchsorted(y, x)
-    return bool((y[np.minimum(at, len(y) - 1)] == x).any())
-
-
 def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """node, component (least node): alternating large-star and small-star steps until nothing changes.
 
@@ -327,14 +344,15 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
         # small star: every node and its smaller neighbours go to the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
-        now = cut(small, "edges")
+        last, now = now, cut(small, "edges")
+        discard(last)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if before == state:
             return now.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
         before = state
 
 
-def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, run_pairs: int = RUN_PAIRS) -> DataFrame:
     """doc_id, n_shingles, component_id, n_class, component_key, text_hash: one row per row of docs.
 
     Two documents link when 100 * |intersection| >= percent * |union| of their distinct `size`-word shingles.
@@ -344,22 +362,27 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     spark = docs.sparkSession
     t = Fraction(percent, 100)
-    docs = ids_and_texts(docs, id_col, text_col)
+    docs = ids_and_texts(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
     levels = spark.sparkContext.broadcast(rank_levels(docs, size))
-    shared = cut(shared_only(postings(docs, size, t, levels)), "postings")
-    wanted = filter_of(shared.select("d1").mapInArrow(_distinct_longs, "d1 long"))
-    sets = cut(document_sets(docs.withColumn("text_hash", F.xxhash64("text")), size, wanted), "sets")
+    sets = cut(signatures(docs, size, t, levels), "sets")
+    posts = sets.where("first is not null").select("d1", "n_shingles", F.posexplode("first").alias("place", "token")).withColumn("place", F.col("place").cast("long"))
+    tokens = cut(shared_tokens(posts), "tokens")
+    frequent = tokens.where("n > 3").select("token")
+    frequent = F.broadcast(frequent) if frequent.count() <= BROADCAST_TOKENS else frequent
+    many = cut(posts.join(frequent, "token").select("token", "d1", "n_shingles", "place"), "postings")
 
     def links(pairs: DataFrame) -> DataFrame:
-        pairs = cut(promising(pairs, sets, t), "pairs")
-        ends = filter_of(pairs.select(F.explode(F.array("a", "b")).alias("d1")))
-        texts = texts_by_set(docs, size, ends).groupBy("d1", "d2").agg(F.first("text").alias("text"))
-        return cut(verified(pairs, cut(texts, "texts"), size, t), "links")
-
-    first = cut(anchors(shared), "anchors")
+        pairs = cut(meeting(pairs, sets, t), "pairs")
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("d1")).distinct()
+        texts = cut(texts_by_set(docs, sets, ends), "texts")
+        out = cut(verified(pairs, texts, size, t), "links")
+        discard(pairs, texts)
+        return out
+
+    first = cut(few_pairs(tokens).union(anchor_pairs(many)).distinct(), "candidates")
     edges = links(first)
-    labels = components(edges.select(F.col("a1").alias("u"), F.col("b1").alias("v"))).withColumnRenamed("node", "d1")
-    every = edges.union(links(across(shared, labels, sets, t).join(first, ["a", "b"], "left_anti")))
+    labels = cut(components(edges.select(F.col("a1").alias("u"), F.col("b1").alias("v"))).withColumnRenamed("node", "d1"), "labels")
+    every = edges.union(links(across(many, labels, sets, t, run_pairs).join(first, ["a", "b"], "left_anti")))
     classes = sets.where("d1 is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n_class"))
     # nodes are 128-bit digests; d1 alone names one, but for sets that collide in it
     node = lambda a, b: F.concat(F.lpad(F.hex(a), 16, "0"), F.lpad(F.hex(b), 16, "0"))
@@ -367,29 +390,27 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = classes.withColumn("node", node("d1", "d2")).join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = classes.groupBy("component").agg(F.min("least_id").alias("component_id"))
     classes = classes.join(ids, "component").select("d1", "d2", "component_id", "n_class", F.col("component").alias("component_key"))
+    discard(tokens, many, first, labels)
     linked = sets.where("d1 is not null").join(classes, ["d1", "d2"]).select("doc_id", "n_shingles", "component_id", "n_class", "component_key", "text_hash")
     alone = sets.where("d1 is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("n_class"), F.lit(None).cast("string").alias("component_key"), "text_hash")
     return linked.union(alone)
 
 
-def _distinct_longs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(np.unique(b.column(0).to_numpy(zero_copy_only=False)))], names=["d1"])
-
-
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs, with all their columns, of which one stays for each component: that of the least id.
 
-    Rows with an empty set all stay; of rows that repeat id and text one stays.
+    Rows with an empty set all stay; of rows that repeat id and text one stays, null ids among them. docs may have
+    columns of any names.
     """
     found = cut(ngram_jaccard(docs, id_col, text_col, **options).select("doc_id", "component_key", "text_hash"), "classes")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
-    stay = found.where("component_key is not null").groupBy("component_key").agg(F.min(order).alias("o")).select("o.doc_id", "o.text_hash")
-    empty = found.where("component_key is null").select("doc_id", "text_hash").distinct()
-    keys = stay.union(empty).select(F.col("doc_id").alias("stay_id"), F.col("text_hash").alias("stay_hash"))
-    named = docs.withColumns({"_stay_hash": F.xxhash64(F.col(text_col).cast("string")), "_stay_id": F.col(id_col).cast("long")})
-    kept = named.join(keys, named._stay_id.eqNullSafe(keys.stay_id) & (named._stay_hash == keys.stay_hash), "left_semi")
-    repeated = found.where("component_key is not null").join(stay, ["doc_id", "text_hash"], "left_semi").groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count()
+    stay = found.where("component_key is not null").groupBy("component_key").agg(F.min(order).alias("o"), F.count("*").alias("n")).select(F.col("o.doc_id").alias("id"), F.col("o.text_hash").alias("hash"), F.lit(False).alias("blank"))
+    blank = found.where("component_key is null").select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), F.lit(True).alias("blank")).distinct()
+    keys = stay.union(blank)
+    text = F.col(f"`{text_col}`").cast("string")
+    named = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{id_col}`").cast("long").alias("own_id"), F.xxhash64(text).alias("own_hash"))
+    kept = named.join(keys, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_hash") == F.col("hash"))).select("row", "own_id", "own_hash", "blank")
+    repeated = found.where("component_key is not null").groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count()
     if repeated:
-        kept = kept.where("_stay_id is null").union(kept.where("_stay_id is not null").dropDuplicates(["_stay_id", "_stay_hash"]))
-    return kept.drop("_stay_hash", "_stay_id")
+        kept = kept.where("blank").union(kept.where("not blank").dropDuplicates(["own_id", "own_hash"]))
+    return kept.select("row.*")

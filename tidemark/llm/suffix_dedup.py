@@ -5,32 +5,32 @@ A byte goes if it lies in a string of `length` bytes that also starts somewhere
 1. Winnowing: of every window of `length` bytes the least hash of its 32-byte grams is its anchor. Equal windows have
    equal anchors at equal places, so windows are only compared within an anchor; neighbouring windows with one anchor
    form a run, and a run travels as a 128-bit digest. An anchor that one run has alone is done with.
-2. Runs of one anchor with equal digests repeat as a whole.
+2. Runs of one anchor with equal digests repeat as a whole: the digests are of SHA-256, which no two strings share.
 3. The other runs of a shared anchor are fetched, and the suffixes at their window starts sorted: bottom-up mergesort in
    which two suffixes are compared by their longest common extension, found by binary search over prefix polynomial
    hashes. Neighbours that agree over `length` bytes repeat; their bytes are compared in full, against collisions.
 
 Within a task equal texts and equal runs are sent once, so a hot passage or copy sends two rows a task at most. Texts are
-named by a 128-bit digest: copies share their spans, whatever their ids. Groups with more than `group_most` runs are
-counted by window digests instead, which spreads them over all tasks.
+named by their digest: copies share their spans, whatever their ids. Groups with more than `group_most` runs are sorted
+in shards: each window under its anchor, its first and its last gram, of equal windows of a task one (two serve others).
 
-Defined cases: a null text is empty; texts shorter than `length` bytes lose nothing; a repeated row repeats all its
-strings; ids may be null or repeated; an empty table gives no rows. Bytes are removed as they are, so what is kept may
-begin or end within a UTF-8 character.
+Defined cases: a null text is empty; texts shorter than `length` bytes lose nothing; texts of any length are taken whole;
+a repeated row repeats all its strings; ids may be null or repeated; an empty table gives no rows; columns to carry may
+have any names. Bytes are removed as they are, so what is kept may begin or end within a UTF-8 character.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, cut, filter_of, hasher, hit, mix, runs, slices, texts_of
+from .common import U64, cut, discard, filter_of, hasher, mix, runs, slices, texts_of
 
 LENGTH, GRAM = 200, 32
 #: Distinct runs of one anchor that are sorted in one task.
@@ -39,14 +39,10 @@ GROUP_MOST = 12_000
 LOT_BYTES = 1 << 19
 PLACE_BITS = 24
 
-def longs(x: int) -> tuple[int, int]:
-    """A 128-bit number as two signed longs."""
-    a, b = x >> 64, x & (1 << 64) - 1
-    return a - (a >> 63 << 64), b - (b >> 63 << 64)
-
 
 def text_key(text: bytes) -> tuple[int, int]:
-    return longs(xxhash.xxh3_128_intdigest(text))
+    """128 bits of SHA-256, as two signed longs."""
+    return struct.unpack("<qq", hashlib.sha256(text).digest()[:16])
 
 
 def window_runs(data: np.ndarray, bounds: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -100,7 +96,7 @@ def postings(docs: DataFrame, length: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, bool] = {}
+        seen: dict[tuple[int, int], bool] = {}
         texts: dict[tuple[int, int], bool] = {}
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
@@ -130,16 +126,16 @@ def postings(docs: DataFrame, length: int) -> DataFrame:
                 owner = np.searchsorted(bounds, starts, side="right") - 1
                 inside = starts - bounds[owner]
                 for s, n, a, o, i in zip(starts.tolist(), sizes.tolist(), anchors.view(np.int64).tolist(), owner.tolist(), inside.tolist(), strict=True):
-                    d = xxhash.xxh3_128_intdigest(joined[s : s + n + length - 1])
+                    d = text_key(joined[s : s + n + length - 1])
                     key = new[o][1]
                     met = seen.get(d)
                     if met is None:
                         seen[d] = False
-                        rows.append((a, *longs(d), *(key or (0, 0)), i, n if key else 0))
+                        rows.append((a, *d, *(key or (0, 0)), i, n if key else 0))
                     else:
                         if not met:
                             seen[d] = True
-                            rows.append((a, *longs(d), 0, 0, 0, 0))
+                            rows.append((a, *d, 0, 0, 0, 0))
                         if key:
                             rows.append((key[0] ^ i, 0, 0, *key, i, -n))
                 if rows:
@@ -314,9 +310,10 @@ def keyed_texts(docs: DataFrame, wanted) -> DataFrame:
         seen = set()
         for b in batches:
             rows = []
-            for t in texts_of(b.column(1)):
-                key = text_key(t)
-                if key not in seen and hit(wanted.value, key[0]):
+            texts = texts_of(b.column(1))
+            keys = [text_key(t) for t in texts]
+            for t, key, likely in zip(texts, keys, wanted.value.has(np.array([k[0] for k in keys], np.int64)).tolist(), strict=True):
+                if likely and key not in seen:
                     seen.add(key)
                     rows.append((*key, t))
             if rows:
@@ -333,12 +330,14 @@ def compared(need: DataFrame, docs: DataFrame, length: int, group_most: int) ->
     counts = need.groupBy("anchor").count()
     schema = pa.schema([("t1", pa.int64()), ("t2", pa.int64()), ("start", pa.int64()), ("size", pa.int64())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch], single: bool = False) -> Iterator[pa.RecordBatch]:
+        """Sort the suffixes of each group; single: the groups are shards, and each chunk is one window."""
+
         def work(cols: list[np.ndarray]) -> pa.RecordBatch | None:
             anchor, t1, t2, start, size, chunk = cols
             ids = np.unique(anchor, return_inverse=True)[1].tolist()
             chunks = chunk.tolist()
-            where = [anchor_place(c, a, length) for c, a in zip(chunks, anchor.tolist(), strict=True)]
+            where = [0 if single else anchor_place(c, a, length) for c, a in zip(chunks, anchor.tolist(), strict=True)]
             flags = repeated_windows(chunks, ids, where, length)
             at, rows = 0, []
             for c, x, y, s, n in zip(chunks, t1.tolist(), t2.tolist(), start.tolist(), size.tolist(), strict=True):
@@ -359,12 +358,40 @@ def compared(need: DataFrame, docs: DataFrame, length: int, group_most: int) ->
         if held and (b := work([np.concatenate(x) for x in zip(*held, strict=True)])) is not None:
             yield b
 
-    small = chunks.join(counts.where(F.col("count") > group_most).select("anchor"), "anchor", "left_anti")
-    sorted_ = small.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "t1 long, t2 long, start long, size long")
-    large = chunks.join(counts.where(F.col("count") > group_most).select("anchor"), "anchor", "left_semi")
-    windows = large.select("t1", "t2", "start", "size", F.posexplode(F.expr(f"transform(sequence(1, cast(abs(size) as int)), i -> sha2(substring(chunk, i, {length}), 256))")).alias("i", "digest"))
-    again = windows.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
-    return sorted_.union(windows.where("size > 0").join(again, "digest", "left_semi").select("t1", "t2", F.col("start") + F.col("i"), F.lit(1).cast("long")))
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The windows of large groups: one of equal ones goes to its shard, with a stand-in where there are more; these repeat."""
+        shard_schema = pa.schema([("shard", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("start", pa.int64()), ("size", pa.int64()), ("window", pa.binary())])
+        met: dict[bytes, bool] = {}
+        for b in batches:
+            rows = []
+            for anchor, t1, t2, start, size, chunk in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                for i in range(abs(size)):
+                    w = chunk[i : i + length]
+                    if w in met and size > 0:
+                        rows.append((None, t1, t2, start + i, 1, None))
+                    if not met.get(w):
+                        met[w] = w in met
+                        key = hashlib.blake2b(struct.pack("<q", anchor) + w[:GRAM] + w[-GRAM:], digest_size=8).digest()
+                        real = size > 0 and not met[w]
+                        rows.append((struct.unpack("<q", key)[0], t1, t2, start + i, 1 if real else -1, w))
+                if len(met) > 50_000:
+                    met.clear()
+                if len(rows) > 5_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), shard_schema, strict=True)], schema=shard_schema)
+                    rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), shard_schema, strict=True)], schema=shard_schema)
+
+    large_anchors = counts.where(F.col("count") > group_most).select("anchor")
+    spans = "t1 long, t2 long, start long, size long"
+    small = chunks.join(large_anchors, "anchor", "left_anti")
+    sorted_ = small.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, spans)
+    if large_anchors.isEmpty():
+        return sorted_
+    windows = cut(chunks.join(large_anchors, "anchor", "left_semi").mapInArrow(split, "shard long, t1 long, t2 long, start long, size long, window binary"), "windows")
+    known = windows.where("window is null").select("t1", "t2", "start", "size")
+    shards = windows.where("window is not null").repartition("shard").sortWithinPartitions("shard")
+    return sorted_.union(known).union(shards.mapInArrow(lambda batches: run(batches, single=True), spans))
 
 
 def anchor_place(chunk: bytes, anchor: int, length: int) -> int:
@@ -379,15 +406,15 @@ def anchor_place(chunk: bytes, anchor: int, length: int) -> int:
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, group_most: int = GROUP_MOST, carry: list[str] | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary), kept_sha256 and, in a struct, the columns to carry: a row per row of docs."""
-    carried = F.struct(*(F.col(c) for c in carry)) if carry else F.lit(None).cast("struct<none: int>")
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), carried.alias("carried"))
+    carried = F.struct(*(F.col(f"`{c}`") for c in carry)) if carry else F.lit(None).cast("struct<none: int>")
+    docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), carried.alias("carried"))
     plain = docs.select("doc_id", "text")
     found = cut(shared_runs(postings(plain, length)), "runs")
     whole = found.where("anchor is null").select("t1", "t2", "start", "size")
     need = found.where("anchor is not null")
-    spans = whole.union(cut(compared(need, plain, length, group_most), "spans")).where("size > 0")
-    spans = spans.groupBy("t1", "t2").agg(F.collect_set(F.struct("start", "size")).alias("spans"))
-    spans = cut(spans, "spans")
+    parts = cut(compared(need, plain, length, group_most), "spans")
+    spans = cut(whole.union(parts).where("size > 0").groupBy("t1", "t2").agg(F.collect_set(F.struct("start", "size")).alias("spans")), "spans")
+    discard(found, parts)
     wanted = filter_of(spans.select("t1"))
     mid = pa.schema([("doc_id", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("text", pa.binary()), ("hit", pa.bool_())])
 
@@ -395,7 +422,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for b in batches:
             texts = texts_of(b.column(1))
             keys = [text_key(t) for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(texts, pa.binary()), pa.array([bool(hit(wanted.value, k[0])) for k in keys]), b.column(2)], names=[*mid.names, "carried"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(texts, pa.binary()), pa.array(wanted.value.has(np.array([k[0] for k in keys], np.int64))), b.column(2)], names=[*mid.names, "carried"])
 
     kind = docs.schema["carried"].dataType.simpleString()
     every = docs.mapInArrow(keyed, f"doc_id long, t1 long, t2 long, text binary, hit boolean, carried {kind}")
