@@ -108,7 +108,7 @@ def test_decontamination_finds_edits_at_any_place(n):
     for places in itertools.combinations(range(n), d):
         for new, step in ((b"Q", 1), (b"", 1), (b"Q", 0)):
             texts.append(b"before " + b"".join(new + item[i + step : i + 1] if i in places else item[i : i + 1] for i in range(n)) + b" after")
-    assert all(index.candidates(t) for t in texts)
+    assert all(index.windows(t) for t in texts)
     found = index.finds(texts)
     assert all(f[0][3] <= d for f in found if f)
     assert sum(map(bool, found)) >= (0.95 if d > 1 else 1) * len(texts)  # the walks may miss a few
@@ -124,7 +124,7 @@ def test_decontamination_looks_at_every_window_at_the_limit():
             text[shift :: n // d] = b"Q" * len(text[shift :: n // d])
             for i in range(shift + d * (n // d), n, n // d):
                 text[i] = item[i]
-            assert 0 in index.candidates(bytes(text))
+            assert (decontaminate.size_class(n), 0) in index.windows(bytes(text))
 
 
 def test_wavelet(docs, no_docs):
@@ -303,3 +303,44 @@ def test_one_of_each_keeps_one_row_of_null_ids_and_odd_columns(spark):
     kept = ngram_join.one_of_each(docs)
     assert kept.columns == docs.columns
     assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(None, text), (None, None), (7, "a b")])
+
+
+def test_decontamination_against_brute_force(spark):
+    def best(p, t):
+        row = [0] * (len(t) + 1)
+        for i, c in enumerate(p):
+            new = [i + 1]
+            for j, d in enumerate(t):
+                new.append(min(row[j] + (c != d), row[j + 1] + 1, new[j] + 1))
+            row = new
+        return min(row)
+
+    random = np.random.default_rng(3)
+    items = [bytes(random.choice(list(b"etaoinsh rdlu"), n).tolist()).decode() for n in (8, 26, 30, 60, 61, 100, 240)] + ["a" * 12 + "b"]
+    items = [decontaminate.plain(t.encode()).decode() for t in items]
+    texts = [None, "", "x" * 50, "a" * 14 + "b"]
+    for t in items:
+        for edits in (0, int(0.08 * len(t)), int(0.08 * len(t)) + 3, len(t) // 3):
+            texts.append("some text before, " + decontaminate.with_edits(t.encode(), edits, random).decode() + " and after")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").withColumn("item_id", F.lit("x")).withColumn("a.b", F.lit(1))
+    bench = spark.createDataFrame([(None if k == 3 else k, t) for k, t in enumerate(items)] + [(99, None), (98, " ")], "item_id bigint, text string")
+    want = {}
+    for i, t in enumerate(texts):
+        for k, p in enumerate(items):
+            if len(p) and (d := best(p.encode(), decontaminate.plain((t or "").encode()))) <= int(0.08 * len(p)):
+                want[i, None if k == 3 else k] = d
+    for lots in (decontaminate.ITEM_BYTES, 200):
+        out = decontaminate.decontaminate(docs, bench, item_bytes=lots, carry=docs.columns).collect()
+        found = {(r.doc_id, f.item_id): f.distance for r in out for f in r.finds}
+        assert set(found.items()) <= set(want.items()) and len(found) >= 0.9 * len(want)
+        assert {x for x, d in want.items() if d == 0} == {x for x, d in found.items() if d == 0}
+        assert all(r.contaminated == bool(r.finds) and r.carried["a.b"] == 1 for r in out) and len(out) == len(texts)
+
+
+def test_decontamination_finds_an_edit_in_every_stretch():
+    item = bytes(np.random.default_rng(0).integers(97, 123, 100, dtype=np.uint8).tolist())
+    text = bytearray(item)
+    for i in range(8):
+        text[i * 12 + 5] = ord("Q")
+    index = decontaminate.Index([(1, item)], decontaminate.ALLOWED, decontaminate.Q)
+    assert [f[3] for f in index.finds([b"before " + bytes(text) + b" after"])[0]] == [8]

@@ -44,7 +44,7 @@ ODD_BITS = 9
 ORDERS = (0x27D4EB2F165667C5, 0xC2B2AE3D27D4EB4F)
 #: Prefixes of at most so many tokens have 16 bits a token, longer ones 32.
 NARROW = 128
-#: Rows of frequent tokens that may be broadcast; more are joined by a shuffle.
+#: Rows of frequent tokens, or of pairs, that may be broadcast; more are joined by a shuffle.
 BROADCAST_TOKENS = 1_000_000
 #: Pairs in different components that one run of a token may compare; a run with more is split by another order.
 RUN_PAIRS = 4_000_000
@@ -133,13 +133,15 @@ def few_pairs(tokens: DataFrame) -> DataFrame:
 
 
 def anchor_pairs(posts: DataFrame) -> DataFrame:
-    """Pairs (a, b) of every set with its token's anchors.
+    """Pairs (a, b) of every set with its token's anchors. posts: token, d1, n_shingles, n (rows of the token).
 
-    An anchor is the set of the least or greatest hash, so tokens of one group agree on it; aggregation gives the
-    anchors with map-side combining, and no run is gathered.
+    The hub is the set whose prefix is the most shared for its length: a text that others were made from has no tokens of
+    its own. The other anchors are the sets of the least and the greatest hash. Tokens of one group agree on all three;
+    aggregation gives them with map-side combining, and no run is gathered.
     """
-    h1, h2 = F.xxhash64("d1", F.lit(1)), F.xxhash64("d1", F.lit(2))
-    best = posts.groupBy("token").agg(F.min_by("d1", h1).alias("x1"), F.min_by("d1", h2).alias("x2"), F.max_by("d1", h1).alias("x3"))
+    shared = posts.groupBy("d1").agg((F.sum(F.log2("n")) / F.max("n_shingles")).alias("shared"))
+    h = F.xxhash64("d1")
+    best = posts.join(shared, "d1").groupBy("token").agg(F.max_by("d1", F.col("shared") + F.pmod(h, F.lit(1000)) / 1e9).alias("x1"), F.min_by("d1", h).alias("x2"), F.max_by("d1", h).alias("x3"))
     pairs = posts.select("token", "d1").join(best, "token").select(F.col("d1").alias("u"), F.explode(F.array_distinct(F.array("x1", "x2", "x3"))).alias("v")).where("u != v")
     return pairs.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
 
@@ -153,33 +155,50 @@ def meet(x: bytes, n: int, y: bytes, m: int, t: Fraction) -> bool:
     return bool(np.isin(a, b).any())
 
 
-def meeting(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
+def distinct_signatures(sets: DataFrame) -> DataFrame:
+    """d1, n, small, second, third, sure: one row for each set. sure: no other set has the same first half of its digest."""
+    own = sets.where("small is not null")
+    return own.groupBy("d1").agg(F.first(F.struct(F.col("n_shingles").alias("n"), "small", "second", "third")).alias("s"), (F.min("d2") == F.max("d2")).alias("sure")).select("d1", "s.*", "sure")
+
+
+def both_sides(pairs: DataFrame, have: DataFrame, columns: list[str]) -> DataFrame:
+    """a, b, then the columns of a's signature, then those of b's."""
+    one = have.select(F.col("d1").alias("a"), *columns)
+    two = have.select(F.col("d1").alias("b"), *(F.col(c).alias(f"q_{c}") for c in columns))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", *columns, *(f"q_{c}" for c in columns))
+
+
+def meeting(pairs: DataFrame, have: DataFrame, t: Fraction) -> DataFrame:
     """The pairs (a, b) whose sizes and odd sketches allow a Jaccard of t and whose prefixes meet under every order."""
     low, high = t.numerator, t.denominator
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def kept(b: pa.RecordBatch, good: np.ndarray, sure: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+        keep = pa.array(good | ~np.logical_and(*(b.column(i).to_numpy(zero_copy_only=False).astype(bool) for i in sure)))
+        yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], schema=schema)
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            n, m = (b.column(i).to_numpy(zero_copy_only=False) for i in (2, 6))
-            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint64).reshape(b.num_rows, -1) for i in (5, 9))
-            overlap = (n + m - np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)) // 2
-            good = (overlap * (high + low) >= low * (n + m)) & (high * np.minimum(n, m) >= low * np.maximum(n, m))
-            p = [b.column(i).to_pylist() for i in (3, 4, 7, 8)]
-            for i in np.flatnonzero(good).tolist():
-                good[i] = all(meet(p[k][i], int(n[i]), p[2 + k][i], int(m[i]), t) for k in (0, 1))
-            if good.any():
-                keep = pa.array(good)
-                yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], schema=schema)
-
-    have = sets.where("small is not null").select("d1", "d2", F.struct(F.col("n_shingles").alias("n"), "second", "third", "small").alias("s")).dropDuplicates(["d1", "d2"])
-    one = have.select(F.col("d1").alias("a"), F.col("s").alias("p"))
-    two = have.select(F.col("d1").alias("b"), F.col("s").alias("q"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "p.*", *(F.col(f"q.{c}").alias(f"q_{c}") for c in ("n", "second", "third", "small"))).mapInArrow(run, "a long, b long").distinct()
-
-
-def across(posts: DataFrame, labels: DataFrame, sets: DataFrame, t: Fraction, run_pairs: int = RUN_PAIRS) -> DataFrame:
+            if b.num_rows:
+                n, m = (b.column(i).to_numpy(zero_copy_only=False) for i in (2, 5))
+                x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint64).reshape(b.num_rows, -1) for i in (3, 6))
+                overlap = (n + m - np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)) // 2
+                yield from kept(b, (overlap * (high + low) >= low * (n + m)) & (high * np.minimum(n, m) >= low * np.maximum(n, m)), (4, 7))
+
+    def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                n, m = (b.column(i).to_pylist() for i in (2, 6))
+                p = [b.column(i).to_pylist() for i in (3, 4, 7, 8)]
+                yield from kept(b, np.array([all(meet(p[k][i], n[i], p[2 + k][i], m[i], t) for k in (0, 1)) for i in range(b.num_rows)]), (5, 9))
+
+    narrow = cut(both_sides(pairs, have, ["n", "small", "sure"]).mapInArrow(alike, "a long, b long"), "alike")
+    if narrow.count() <= BROADCAST_TOKENS:  # few pairs: only the signatures of their sets travel
+        have = have.join(F.broadcast(narrow.select(F.explode(F.array("a", "b")).alias("d1")).distinct()), "d1", "left_semi")
+    return both_sides(narrow, have, ["n", "second", "third", "sure"]).mapInArrow(ordered, "a long, b long")
+
+
+def across(posts: DataFrame, labels: DataFrame, have: DataFrame, t: Fraction, run_pairs: int = RUN_PAIRS) -> DataFrame:
     """Pairs (a, b) of a token's run that lie in different components, after the filters on size, place and odd sketch.
 
     posts: token, d1, n_shingles, place. Counts with map-side combining find the runs of more than one component, and
@@ -229,7 +248,7 @@ def across(posts: DataFrame, labels: DataFrame, sets: DataFrame, t: Fraction, ru
 
     def finer(order: str, posts: DataFrame) -> DataFrame:
         """The same postings under token and each token of another prefix (its high 16 bits)."""
-        own = sets.where("small is not null").select("d1", "n_shingles", order).dropDuplicates(["d1", "n_shingles"])
+        own = have.select("d1", order)
         narrow = prefix_length_at_most(NARROW, t)
 
         def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +262,7 @@ def across(posts: DataFrame, labels: DataFrame, sets: DataFrame, t: Fraction, ru
                     k = slice(i, i + 100_000)
                     yield pa.RecordBatch.from_arrays([pa.array(keys[k]), *(b.column(j).take(pa.array(which[k])) for j in (1, 2, 3, 4))], names=["token", "d1", "n_shingles", "place", "component"])
 
-        return posts.join(own, ["d1", "n_shingles"]).select("token", "d1", "n_shingles", "place", "component", order).mapInArrow(split, "token long, d1 long, n_shingles long, place long, component long")
+        return posts.join(own, "d1").select("token", "d1", "n_shingles", "place", "component", order).mapInArrow(split, "token long, d1 long, n_shingles long, place long, component long")
 
     def weighed(posts: DataFrame) -> DataFrame:
         """posts, with the pairs of different components of their token: none are left out."""
@@ -264,9 +283,9 @@ def across(posts: DataFrame, labels: DataFrame, sets: DataFrame, t: Fraction, ru
     every = parts[0]
     for part in parts[1:]:
         every = every.union(part)
-    small = sets.where("small is not null").select("d1", "n_shingles", "small").dropDuplicates(["d1", "n_shingles"])
-    joined = every.join(small, ["d1", "n_shingles"]).select("token", "d1", "n_shingles", "place", "component", "small")
-    return joined.repartition("token").sortWithinPartitions("token").mapInArrow(run, "a long, b long").distinct()
+    joined = every.join(have.select("d1", "small"), "d1").select("token", "d1", "n_shingles", "place", "component", "small")
+    tasks = int(posts.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a row is worth many comparisons: not fewer by bytes
+    return joined.repartition(tasks, "token").sortWithinPartitions("token").mapInArrow(run, "a long, b long").distinct()
 
 
 def prefix_length_at_most(k: int, t: Fraction) -> int:
@@ -367,12 +386,13 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sets = cut(signatures(docs, size, t, levels), "sets")
     posts = sets.where("first is not null").select("d1", "n_shingles", F.posexplode("first").alias("place", "token")).withColumn("place", F.col("place").cast("long"))
     tokens = cut(shared_tokens(posts), "tokens")
-    frequent = tokens.where("n > 3").select("token")
+    frequent = tokens.where("n > 3").select("token", "n")
     frequent = F.broadcast(frequent) if frequent.count() <= BROADCAST_TOKENS else frequent
-    many = cut(posts.join(frequent, "token").select("token", "d1", "n_shingles", "place"), "postings")
+    many = cut(posts.join(frequent, "token").select("token", "d1", "n_shingles", "place", "n"), "postings")
+    have = cut(distinct_signatures(sets), "signatures")
 
     def links(pairs: DataFrame) -> DataFrame:
-        pairs = cut(meeting(pairs, sets, t), "pairs")
+        pairs = cut(meeting(pairs, have, t), "pairs")
         ends = pairs.select(F.explode(F.array("a", "b")).alias("d1")).distinct()
         texts = cut(texts_by_set(docs, sets, ends), "texts")
         out = cut(verified(pairs, texts, size, t), "links")
@@ -382,7 +402,7 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     first = cut(few_pairs(tokens).union(anchor_pairs(many)).distinct(), "candidates")
     edges = links(first)
     labels = cut(components(edges.select(F.col("a1").alias("u"), F.col("b1").alias("v"))).withColumnRenamed("node", "d1"), "labels")
-    every = edges.union(links(across(many, labels, sets, t, run_pairs).join(first, ["a", "b"], "left_anti")))
+    every = edges.union(links(across(many, labels, have, t, run_pairs).join(first, ["a", "b"], "left_anti")))
     classes = sets.where("d1 is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n_class"))
     # nodes are 128-bit digests; d1 alone names one, but for sets that collide in it
     node = lambda a, b: F.concat(F.lpad(F.hex(a), 16, "0"), F.lpad(F.hex(b), 16, "0"))
@@ -390,7 +410,7 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = classes.withColumn("node", node("d1", "d2")).join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = classes.groupBy("component").agg(F.min("least_id").alias("component_id"))
     classes = classes.join(ids, "component").select("d1", "d2", "component_id", "n_class", F.col("component").alias("component_key"))
-    discard(tokens, many, first, labels)
+    discard(tokens, many, have, first, labels)
     linked = sets.where("d1 is not null").join(classes, ["d1", "d2"]).select("doc_id", "n_shingles", "component_id", "n_class", "component_key", "text_hash")
     alone = sets.where("d1 is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("n_class"), F.lit(None).cast("string").alias("component_key"), "text_hash")
     return linked.union(alone)
