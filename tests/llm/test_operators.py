@@ -344,3 +344,38 @@ def test_decontamination_finds_an_edit_in_every_stretch():
         text[i * 12 + 5] = ord("Q")
     index = decontaminate.Index([(1, item)], decontaminate.ALLOWED, decontaminate.Q)
     assert [f[3] for f in index.finds([b"before " + bytes(text) + b" after"])[0]] == [8]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder_equals_an_untouched_tokenizer(name):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path(name))
+    marks = [t.content for t in plain.get_added_tokens_decoder().values()]
+    texts = ["a b c", "one  two\nthree", "x" * 3000, *(f"a {m} b{m}c {m.upper()} d" for m in marks), "".join(marks), "plain again"]
+    assert [list(x) for x in tokens.encoder(name).encode(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_token_digests_end_to_end(docs, spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    more = spark.createDataFrame([(201, "a <|endoftext|> b"), (202, "<|startoftext|>"), (202, "<|startoftext|>"), (203, "word " * 5000)], "doc_id bigint, text string")
+    both = docs.select("doc_id", "text").union(more)
+
+    def ids(name, text, end):
+        t = Tokenizer.from_file(public_tokenizers.path(name))
+        return np.array([*t.encode(text or "", add_special_tokens=False).ids, end], "<u4")
+
+    rows = both.collect()
+    want = Counter((r.doc_id, len(x), zlib.crc32(x.tobytes())) for r in rows for x in [ids("word_bpe_49k.json", r.text, 2)])
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in wavelet.token_round_trip(both, shard_tokens=500).collect()) == want
+    pieces = Counter()
+    for r in rows:
+        x = ids("byte_bpe_50k.json", r.text, 0)
+        cuts = [0, *range(len(x) % 256 or 256, len(x) + 1, 256)]
+        for k, (s, e) in enumerate(zip(cuts, cuts[1:])):
+            pieces[r.doc_id, k, s, e - s, zlib.crc32(x[s:e].tobytes())] += 1
+    out = packing.pack(both, length=256).collect()
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in out) == pieces

@@ -124,7 +124,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
                     rows = []
             yield rows
 
-        yield from _packed(pieces(), length, 4 * open_bins, 1 << 62)
+        yield from _packed(pieces(), length, open_bins, 1 << 62)
 
     done = cut(ids_and_texts(docs, id_col, text_col).mapInArrow(first, COLUMNS), "packed")
     left = done.where("open").select("doc_id", "piece", "start", "length", "ids_crc32", "ids")

@@ -2,7 +2,8 @@
 
 Both vocabularies split a text at a single space between two other characters before anything else happens, so the ids
 of such a piece do not depend on its neighbours. Pieces are encoded once and remembered (a bounded table); every text is
-put together from its pieces. The result is that of encoding the whole text.
+put together from its pieces. The result is that of encoding the whole text: a text in which the string of an added token
+occurs (such as an end-of-text mark) goes through the library whole.
 """
 
 from __future__ import annotations
@@ -42,7 +43,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # strings of added tokens, in any case: the library takes them out of a text before anything else
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None
         self.lead = " " if keep_space else ""
         vocabulary = self.tokenizer.get_vocab()
         self.edge = np.zeros(1 + max(vocabulary.values()), bool)
@@ -56,7 +59,6 @@ class Encoder:
         from tokenizers import Regex, Tokenizer, pre_tokenizers
 
         same = Tokenizer.from_str(self.tokenizer.to_str())
-        same.encode_special_tokens = True
         if self.folds:
             same.normalizer = None
         split = pre_tokenizers.Split(Regex(" "), "merged_with_next" if self.lead else "removed")
@@ -139,6 +141,14 @@ class Encoder:
         self.flat.frombytes(ids.astype(np.uint32).tobytes())
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        """A text that holds the string of an added token is encoded whole, all others piece by piece."""
+        whole = {i for i, t in enumerate(texts) if self.added and self.added.search(t)}
+        if whole:
+            rest = iter(self._by_pieces([t for i, t in enumerate(texts) if i not in whole]))
+            return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) if i in whole else next(rest) for i, t in enumerate(texts)]
+        return self._by_pieces(texts)
+
+    def _by_pieces(self, texts: list[str]) -> list[np.ndarray]:
         pieces: list[str] = []
         counts = []
         for t in texts:
