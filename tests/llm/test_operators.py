@@ -201,6 +201,9 @@ def test_language_model_learns_every_token(spark):
     model = maxent_lm.Model(own, np.zeros((maxent_lm.ROWS, maxent_lm.GROUPS + maxent_lm.CLASSES), np.float32))
     f, c = maxent_lm.targets(model, h, s, bounds)
     assert len(f) == len(c) == 4 + 1 + 2 and np.flatnonzero(c == 0).tolist() == [3, 4, 6]
+    # every distribution over classes sums to 1, as the shares of a class do with the slot for unknown words
+    every = 10 ** model.log10(np.repeat(f[:1], maxent_lm.CLASSES, axis=0), np.arange(maxent_lm.CLASSES))
+    assert abs(every.sum() - 1) < 1e-5
     # and training raises the end from its even start, for texts of one word and of three
     train = spark.createDataFrame([(i, "dd" if i % 2 else "aa bb cc", 0) for i in range(400)], "doc_id bigint, text string, part int")
     model.weights = maxent_lm.trained(train, own, model.weights, 1, 0.1)
@@ -379,3 +382,23 @@ def test_token_digests_end_to_end(docs, spark):
             pieces[r.doc_id, k, s, e - s, zlib.crc32(x[s:e].tobytes())] += 1
     out = packing.pack(both, length=256).collect()
     assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in out) == pieces
+
+
+def test_language_model_learns_from_history(spark):
+    # two languages: words follow words of their own; the base score knows only how often they occur
+    random = np.random.default_rng(5)
+    pools = [[f"{a}{b}{end}" for a in "bcdfg" for b in "aeiou"] for end in ("on", "ar")]
+    rows = [(i, " ".join(pools[i % 2][k] for k in random.integers(0, 25, 200))) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    held = [r for r in maxent_lm.score(docs, chunk_bytes=20_000).collect() if r.held_out]
+    tokens_, base, model = (sum(r[c] for r in held) for c in ("n_tokens", "base_score", "score"))
+    assert len(held) > 30 and model > base + 0.15 * tokens_  # of the 0.30 that the language is worth
+    assert len({r.doc_id for r in held}) == len(held)
+
+
+def test_language_model_defined_cases(spark):
+    rows = [(1, "a b"), (1, "a b"), (1, "a b"), (None, "a"), (2, None), (3, " "), (4, "x " * 50_000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("h", F.lit(1)).withColumn("chunk", F.lit(2))
+    out = maxent_lm.score(docs, chunk_bytes=100).collect()
+    assert sorted(((r.doc_id is not None, r.doc_id or 0), r.n_tokens) for r in out) == [((False, 0), 2), ((True, 1), 3), ((True, 1), 3), ((True, 1), 3), ((True, 2), 1), ((True, 3), 1), ((True, 4), 50_001)]
+    assert len({(r.base_score, r.score) for r in out if r.doc_id == 1}) == 1

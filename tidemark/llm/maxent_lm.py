@@ -1,22 +1,25 @@
 """Hashed maximum-entropy language model with a class-factored softmax (operator 8).
 
-log p(word | history) = log p(group) + log p(class | group) + log p(word | class). The first two factors are softmaxes
-over 16 groups and 16 classes in each, log-linear in hashed features of the history: the word before, the word before
-that (a skip), and both together. The commonest words of the training part are classes of their own; the others are in
-a class by their last two bytes, where the only feature is the word itself, whose maximum-entropy solution is its share
-of the class (with 0.1 added to each count and to one slot for all unknown words).
+log p(word | history) = log p(group | history) + log p(class | group, history) + log p(word | class). The first two
+factors are softmaxes over 16 groups and 16 classes in each, log-linear in hashed features of the history: the classes of
+the word before, the one before that and the third before (skips), and the two words before as an n-gram. The commonest
+words of the training part are classes of their own; the others are in a class by their last two bytes, where the only
+feature is the word itself, whose maximum-entropy solution is its share of the class (with 0.1 added to each count and to
+one slot for all unknown words).
 
 Training: rounds of distributed AdaGrad. In a round each task starts from the common weights, makes sparse numpy batches
 of its documents and sends its weights, of fixed size; their mean by tokens is the next round's start. Every training
 document serves in one round, with each of its tokens, the end among them, as a target.
 
-Counts are exact over all training documents. Documents are dealt to chunks of about `chunk_tokens` tokens by a hash; a
-chunk sends each of its words once (as a 64-bit hash) with its count, totals come back to the chunk, and its documents
-are scored beside this dictionary: no vocabulary is broadcast.
+Counts are exact over all training documents. Documents are dealt once, in the shared folder, to chunks of about
+`chunk_bytes`, in the order in which they are read, so equal rows do not meet in one chunk. A chunk counts its words (as
+64-bit hashes); the counts are added up by word with map-side combining, the totals come back to the chunks that have
+the word, and a chunk is scored beside this dictionary: no vocabulary is broadcast.
 
 Defined cases: a null or blank text is the end token alone; a null id counts as the empty text, whose crc32 is 0, so the
-document is held out; without training documents every count is 0 and N = V = 0; repeated rows all count; an empty
-table gives no rows.
+document is held out; a text of any length is one document of one chunk; without training documents every count is 0 and
+N = V = 0; of words of one count the one of the least hash has a class of its own; repeated rows all count; other columns
+are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,18 +31,18 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from .common import SPACE, U64, cut, hasher, ids_and_texts, mix, slices, texts_of
 
 GROUPS = 16
 CLASSES = GROUPS * GROUPS
 OWN = CLASSES // 2  # classes of single words, the end token the first of them
-FEATURES = (1024, 1024, 2048)
-ROWS = sum(FEATURES) + 1
+SKIPS, PAIRS = 3, 2048
+#: Rows of weights: of a class at each skip, of the hashed n-gram, of the constant. With the groups they fit 16 bits.
+ROWS = SKIPS * CLASSES + PAIRS + 1
 ADDED = 0.1
-ROUNDS, RATE, BATCH = 2, 0.1, 4096
-CHUNK_TOKENS = 2 << 20
+ROUNDS, RATE, BATCH = 4, 0.3, 2048
+CHUNK_BYTES = 12 << 20
 END = 0x5851F42D4C957F2D
 BLOCK = 1 << 16
 
@@ -75,15 +78,12 @@ class Model:
         return np.where(ranked[at] == h, self.order[at], suffix)
 
     @staticmethod
-    def features(h: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Four rows of weights for each token: word before, word before that, both, and the constant."""
-        one, two = np.roll(h, 1), np.roll(h, 2)
-        one = np.where(first == 0, U64(0), one)
-        two = np.where(first < 2, U64(0), two)
-        a = (one >> U64(20)) % U64(FEATURES[0])
-        b = (two >> U64(20)) % U64(FEATURES[1]) + U64(FEATURES[0])
-        c = mix(one * U64(3) + two) % U64(FEATURES[2]) + U64(FEATURES[0] + FEATURES[1])
-        return np.stack((a, b, c, np.full(len(h), ROWS - 1, U64)), axis=1).astype(np.int64)
+    def features(h: np.ndarray, c: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Rows of weights for each token: the classes before it, the n-gram before it, and the constant."""
+        before = [np.where(place > k, np.roll(c, k + 1), 0) + k * CLASSES for k in range(SKIPS)]  # the end stands before a text
+        one, two = (np.where(place > k, np.roll(h, k + 1), U64(0)) for k in (0, 1))
+        pair = (mix(one * U64(3) + two) % U64(PAIRS)).astype(np.int64) + SKIPS * CLASSES
+        return np.stack((*before, pair, np.full(len(h), ROWS - 1)), axis=1)
 
     def logits(self, f: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         top = self.weights[:, :GROUPS]
@@ -144,7 +144,8 @@ def places(bounds: np.ndarray, n: int) -> np.ndarray:
 
 def targets(model: Model, h: np.ndarray, suffix: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Features and class of every token of some training texts."""
-    return model.features(h, places(bounds, len(h))), model.classes(h, suffix)
+    c = model.classes(h, suffix)
+    return model.features(h, c, places(bounds, len(h))), c
 
 
 def trained(train: DataFrame, own: np.ndarray, weights: np.ndarray, rounds: int, rate: float) -> np.ndarray:
@@ -197,18 +198,31 @@ def trained(train: DataFrame, own: np.ndarray, weights: np.ndarray, rounds: int,
     return weights
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, rate: float = RATE, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
+def dealt_to_chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
+    """docs (doc_id, text, held_out) with a chunk: the next rows of a task, until they have chunk_bytes."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("held_out", pa.bool_()), ("chunk", pa.int64())])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 32
+        held = 0
+        for b in batches:
+            sizes = np.array([len(t) for t in texts_of(b.column(1))], np.int64)
+            chunk = first + (held + np.cumsum(sizes) - sizes) // chunk_bytes
+            held += int(sizes.sum())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(chunk)], schema=schema)
+
+    return cut(docs.mapInArrow(deal, "doc_id long, text string, held_out boolean, chunk long"), "dealt")
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, rate: float = RATE, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per row of docs."""
     spark = docs.sparkSession
     docs = ids_and_texts(docs, id_col, text_col)
     text_id = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    docs = docs.withColumn("held_out", F.crc32(text_id.cast("binary")) % 10 == 0)
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks = max(1, int(size / 6 / chunk_tokens) + 1)
-    dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int")).repartition(chunks, "chunk")
+    dealt = dealt_to_chunks(docs.withColumn("held_out", F.crc32(text_id.cast("binary")) % 10 == 0), chunk_bytes)
 
-    # each word of a chunk once: its count in training documents there
-    schema = pa.schema([("chunk", pa.int32()), ("h", pa.int64()), ("suffix", pa.int32()), ("n", pa.int64())])
+    # the words of a chunk: their counts in training documents there
+    schema = pa.schema([("chunk", pa.int64()), ("h", pa.int64()), ("suffix", pa.int32()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
@@ -218,29 +232,33 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", round
             u, first, inverse = np.unique(h, return_index=True, return_inverse=True)
             return u, s[first], np.bincount(inverse, weights=n, minlength=len(u)).astype(np.int64)
 
+        def out(c: int) -> Iterator[pa.RecordBatch]:
+            u, s, n = summed(held.pop(c))
+            for i in range(0, len(u), 100_000):
+                k = slice(i, i + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u[k]), c)), pa.array(u[k].view(np.int64)), pa.array(s[k].astype(np.int32)), pa.array(n[k])], schema=schema)
+
         for b in batches:
             h, s, bounds = words(texts_of(b.column(1)))
             train = ~b.column(2).to_numpy(zero_copy_only=False).astype(bool)
             chunk = b.column(3).to_numpy(zero_copy_only=False)
             sizes = np.diff(bounds)
             token_train, token_chunk = np.repeat(train, sizes).astype(np.int64), np.repeat(chunk, sizes)
-            for c in np.unique(chunk).tolist():
+            here = np.unique(chunk).tolist()
+            for c in here:
                 own = token_chunk == c
-                entry = held.setdefault(c, [[], 0])
-                entry[0].append(summed([(h[own], s[own], token_train[own])]))
-                if len(entry[0]) > 16:
-                    entry[0] = [summed(entry[0])]
-        for c, (parts, _) in held.items():
-            u, s, n = summed(parts)
-            for i in range(0, len(u), 100_000):
-                k = slice(i, i + 100_000)
-                m = len(u[k])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, c, np.int32)), pa.array(u[k].view(np.int64)), pa.array(s[k].astype(np.int32)), pa.array(n[k])], schema=schema)
-
-    local = dealt.mapInArrow(count, "chunk int, h long, suffix int, n long")
-    w = Window.partitionBy("h")
-    totals = cut(local.select("chunk", "h", "suffix", F.sum("n").over(w).alias("c"), (F.min("chunk").over(w) == F.col("chunk")).alias("first")), "counts")
-    known = totals.where("first and c > 0")
+                parts = held.setdefault(c, [])
+                parts.append(summed([(h[own], s[own], token_train[own])]))
+                if len(parts) > 16:
+                    held[c] = [summed(parts)]
+            for c in [c for c in held if c not in here]:  # rows of a chunk follow each other
+                yield from out(c)
+        for c in list(held):
+            yield from out(c)
+
+    local = cut(dealt.mapInArrow(count, "chunk long, h long, suffix int, n long"), "words")
+    totals = cut(local.groupBy("h").agg(F.sum("n").alias("c"), F.min("suffix").alias("suffix")), "counts")
+    known = totals.where("c > 0")
     row = known.agg(F.sum("c"), F.count("*")).first()
     total, distinct = row[0] or 0, row[1]
     end = U64(END).astype(np.int64)
@@ -257,7 +275,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", round
     shares = (mass + ADDED).reshape(GROUPS, GROUPS)  # training starts from the shares of groups and classes
     start[-1, :GROUPS] = np.log(shares.sum(axis=1) / shares.sum())
     start[-1, GROUPS:] = np.log(shares / shares.sum(axis=1, keepdims=True)).ravel()
-    weights = trained(docs.where("not held_out").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(rounds))), own, start, rounds, rate)
+    weights = trained(dealt.where("not held_out").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(rounds))), own, start, rounds, rate)
     shared = spark.sparkContext.broadcast((own, weights, mass, kinds))
     out = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
@@ -280,11 +298,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", round
             c = counts[np.searchsorted(keys, h)]
             cls = model.classes(h, s)
             inside = np.where(cls < OWN, 0.0, np.log10((c + ADDED) / (mass[cls] + ADDED * (kinds[cls] + 1))))
-            log = model.log10(model.features(h, places(bounds, len(h))), cls) + inside
+            log = model.log10(model.features(h, cls, places(bounds, len(h))), cls) + inside
             base = np.log10((c + ADDED) / (total + ADDED * (distinct + 1)))
             results.append(np.stack([np.add.reduceat(x, bounds[:-1]) for x in (np.ones(len(h)), c > 0, base, log)]))
         n, k, base, log = np.concatenate(results, axis=1) if results else np.zeros((4, 0))
         m = len(texts)
         return pa.table([left.column("doc_id"), left.column("held_out"), pa.array(n.astype(np.int64)), pa.array(k.astype(np.int64)), pa.array(np.full(m, total, np.int64)), pa.array(base), pa.array(log)], schema=out)
 
-    return dealt.groupBy("chunk").cogroup(totals.select("chunk", "h", "c").groupBy("chunk")).applyInArrow(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    # a common word is in every chunk: its row of totals meets many, in a join whose large partitions can be split
+    dictionary = local.select("chunk", "h").distinct().join(totals.select("h", "c"), "h").select("chunk", "h", "c")
+    return dealt.groupBy("chunk").cogroup(dictionary.groupBy("chunk")).applyInArrow(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
