@@ -32,6 +32,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,7 +45,7 @@ ODD_BITS = 9
 ORDERS = (0x27D4EB2F165667C5, 0xC2B2AE3D27D4EB4F)
 #: Prefixes of at most so many tokens have 16 bits a token, longer ones 32.
 NARROW = 128
-#: Rows of frequent tokens, or of pairs, that may be broadcast; more are joined by a shuffle.
+#: Rows of frequent tokens, pairs or names of texts that may be broadcast (three longs each); more take a shuffle.
 BROADCAST_TOKENS = 1_000_000
 #: Pairs in different components that one run of a token may compare; a run with more is split by another order.
 RUN_PAIRS = 4_000_000
@@ -297,11 +298,12 @@ def prefix_length_at_most(k: int, t: Fraction) -> int:
 
 
 def texts_by_set(docs: DataFrame, sets: DataFrame, ends: DataFrame) -> DataFrame:
-    """d1, d2, text of the sets that ends (d1) names: one text of each, fetched by its hash."""
+    """d1, d2, text (zstd) of the sets that ends (d1) names: one text of each, fetched by its hash."""
     chosen = cut(sets.where("d1 is not null").join(ends, "d1", "left_semi").groupBy("d1", "d2").agg(F.min("text_hash").alias("text_hash")), "chosen")
     likely = filter_of(chosen.select("text_hash"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdCompressor(level=3)
         seen: set[int] = set()
         for b in batches:
             keys = b.column(0).to_numpy(zero_copy_only=False)
@@ -311,10 +313,13 @@ def texts_by_set(docs: DataFrame, sets: DataFrame, ends: DataFrame) -> DataFrame
                 seen.add(int(keys[i]))
             if len(seen) > 1_000_000:
                 seen.clear()
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in b.columns], names=["text_hash", "text"])
+            texts = [z.compress(x) for x in texts_of(b.column(1).filter(pa.array(keep)))]
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep)), pa.array(texts, pa.binary())], names=["text_hash", "text"])
 
     found = docs.select("text_hash", F.col("text").cast("binary").alias("text")).mapInArrow(run, "text_hash long, text binary")
-    return found.join(chosen, "text_hash").groupBy("d1", "d2").agg(F.min("text").alias("text"))
+    chosen = F.broadcast(chosen) if chosen.count() <= BROADCAST_TOKENS else chosen
+    # dealt by d1 alone, as the joins of the pairs want it: texts travel once for both of their sides
+    return found.join(chosen, "text_hash").repartition("d1").groupBy("d1", "d2").agg(F.min("text").alias("text"))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, size: int, t: Fraction) -> DataFrame:
@@ -325,11 +330,12 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, t: Fraction) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[tuple[int, int], np.ndarray] = {}
         held = 0
+        z = zstandard.ZstdDecompressor()
         for b in batches:
             cols = [c.to_pylist() for c in b.columns]
             left, right = list(zip(cols[0], cols[1], strict=True)), list(zip(cols[3], cols[4], strict=True))
             new = {d: x for d, x in (*zip(left, cols[2], strict=True), *zip(right, cols[5], strict=True)) if d not in kept}
-            for d, s in zip(new, hasher().shingle_sets(list(new.values()), size), strict=True):
+            for d, s in zip(new, hasher().shingle_sets([z.decompress(x) for x in new.values()], size), strict=True):
                 kept[d] = s
                 held += len(s)
             rows = []
@@ -390,16 +396,18 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     frequent = F.broadcast(frequent) if frequent.count() <= BROADCAST_TOKENS else frequent
     many = cut(posts.join(frequent, "token").select("token", "d1", "n_shingles", "place", "n"), "postings")
     have = cut(distinct_signatures(sets), "signatures")
+    full, sets = sets, cut(sets.select("doc_id", "text_hash", "n_shingles", "d1", "d2"), "classes")
+    discard(full)
 
     def links(pairs: DataFrame) -> DataFrame:
         pairs = cut(meeting(pairs, have, t), "pairs")
         ends = pairs.select(F.explode(F.array("a", "b")).alias("d1")).distinct()
-        texts = cut(texts_by_set(docs, sets, ends), "texts")
-        out = cut(verified(pairs, texts, size, t), "links")
-        discard(pairs, texts)
+        out = cut(verified(pairs, texts_by_set(docs, sets, ends), size, t), "links")
+        discard(pairs)
         return out
 
     first = cut(few_pairs(tokens).union(anchor_pairs(many)).distinct(), "candidates")
+    discard(tokens)
     edges = links(first)
     labels = cut(components(edges.select(F.col("a1").alias("u"), F.col("b1").alias("v"))).withColumnRenamed("node", "d1"), "labels")
     every = edges.union(links(across(many, labels, have, t, run_pairs).join(first, ["a", "b"], "left_anti")))
@@ -410,7 +418,7 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = classes.withColumn("node", node("d1", "d2")).join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = classes.groupBy("component").agg(F.min("least_id").alias("component_id"))
     classes = classes.join(ids, "component").select("d1", "d2", "component_id", "n_class", F.col("component").alias("component_key"))
-    discard(tokens, many, have, first, labels)
+    discard(many, have, first, labels)
     linked = sets.where("d1 is not null").join(classes, ["d1", "d2"]).select("doc_id", "n_shingles", "component_id", "n_class", "component_key", "text_hash")
     alone = sets.where("d1 is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("n_class"), F.lit(None).cast("string").alias("component_key"), "text_hash")
     return linked.union(alone)
