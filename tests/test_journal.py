@@ -76,3 +76,49 @@ def test_policies():
         lineage.check(3, "warn", "x")
     with pytest.raises(RuntimeError):
         lineage.check(3, "strict", "x")
+
+
+def test_each_miss_runs_once(spark):
+    ran = spark.sparkContext.accumulator(0)
+
+    def task(item):
+        ran.add(1)
+        return {"n": len(item)}
+
+    items = spark.createDataFrame([(i, f"k{i}", "x" * i) for i in range(5)], "pos bigint, key string, item string")
+    none = spark.createDataFrame([], "key string, output string")
+    out = fanout.memoised_map(items, none, task)
+    assert out.count() == 5 and [r.status for r in out.collect()] == ["completed"] * 5
+    assert ran.value == 5
+    again = fanout.memoised_map(items, out.select("key", "output"), task)
+    assert {r.status for r in again.collect()} == {"hit"} and ran.value == 5
+
+
+def test_redaction_of_maps_and_bad_json(spark):
+    row = spark.sql("SELECT map('password', 5, 'n', 6) AS a, map('a', map('secret', 's', 'b', 'c')) AS b, map('x', named_struct('api_key', 'k', 'v', 1)) AS c")
+    r = values.redact_frame(row).first()
+    assert r.a == {"password": values.MASK, "n": "6"}
+    assert "s" not in str(r.b).replace("secret", "").replace(values.MASK, "").replace("as", "") and values.MASK in r.b["a"] and '"b":"c"' in r.b["a"]
+    assert values.MASK in r.c["x"] and '"k"' not in r.c["x"]
+    assert values.redact_text("{bad") == f'"{values.MASK}"' and values.redact_text(None) is None
+
+
+def test_forks_are_refused_while_a_run_goes_on(spark):
+    j = spark.createDataFrame([("r", 1, "WorkflowCreated", None, None), ("r", 2, "TaskScheduled", "t", 0), ("s", 1, "WorkflowCreated", None, None), ("s", 2, "TaskScheduled", "t", 0), ("s", 3, "WorkflowCompleted", None, None)], "run_id string, seq bigint, type string, task_name string, ordinal int")
+    for chosen in ({"fork_point_seq": 1}, {"before_task": "t"}):
+        with pytest.raises(ValueError, match="not ended"):
+            lineage.resolve_fork_point(j, "r", **chosen)
+        assert lineage.resolve_fork_point(j, "s", **chosen) == 1
+    for bad in ({"fork_point_seq": 4}, {"before_task": "u"}, {}):
+        with pytest.raises(ValueError):
+            lineage.resolve_fork_point(j, "s", **bad)
+
+
+def test_fork_journal_replaces_the_input(spark):
+    at = dt.datetime(2024, 1, 1)
+    e = spark.createDataFrame([("r", 1, "e1", "WorkflowCreated", at, '{"workflow_name":"w","input_ref":{"a":1}}'), ("r", 2, "e2", "TaskScheduled", at, '{"task_name":"t"}'), ("r", 3, "e3", "WorkflowCompleted", at, "{}")], ENVELOPE)
+    points = spark.createDataFrame([("r", 2)], "run_id string, fork_point bigint")
+    out = typed(lineage.fork_journal(e, points, input_override='{"a":2}')).orderBy("seq").collect()
+    assert [(r.type, r.ts) for r in out] == [("WorkflowCreated", at), ("TaskScheduled", at), ("RunForked", at)]
+    assert (out[0].input_ref, out[0].workflow_name, out[1].task_name) == ('{"a":2}', "w", "t")
+    assert (out[2].source_run_id, out[2].fork_point_seq) == ("r", 2)

@@ -94,25 +94,48 @@ def redact_value(value):
     return [redact_value(x) for x in value] if isinstance(value, list) else value
 
 
+def redact_text(text: str | None) -> str | None:
+    """JSON text, redacted; null stays null, and what is no JSON is masked whole, for nobody knows what it holds."""
+    if text is None:
+        return None
+    try:
+        value = json.loads(text)
+    except ValueError:
+        return json.dumps(MASK)
+    return json.dumps(redact_value(value), separators=(",", ":"), ensure_ascii=False)
+
+
 @F.pandas_udf(T.StringType())
 def redact_json(texts: pd.Series) -> pd.Series:
-    """JSON text of any shape, redacted; null stays null."""
-    return texts.map(lambda t: None if t is None else json.dumps(redact_value(json.loads(t)), separators=(",", ":"), ensure_ascii=False))
+    """redact_text of a column: JSON of any shape."""
+    return texts.map(redact_text)
 
 
 def redact_column(column: Column, kind: T.DataType, name: str = "") -> Column:
-    """The same over a declared schema, without Python: rebuilds structs, arrays and maps around masked strings."""
+    """The same over a declared schema, without Python: rebuilds structs, arrays and maps around masked values.
+
+    A map with a value to mask whose values are no text has no place for the mask: all its values become JSON texts.
+    """
     if name and sensitive(name):
         return F.when(column.isNotNull(), F.lit(MASK))
     if isinstance(kind, T.StructType):
         return F.when(column.isNotNull(), F.struct(*(redact_column(column[f.name], f.dataType, f.name).alias(f.name) for f in kind)))
     if isinstance(kind, T.ArrayType):
         return F.transform(column, lambda x: redact_column(x, kind.elementType))
-    if isinstance(kind, T.MapType) and isinstance(kind.valueType, T.StringType):
-        return F.transform_values(column, lambda k, v: F.when(matches(k), F.lit(MASK)).otherwise(v))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(column, lambda k, v: F.when(v.isNotNull() & matches(k.cast("string")), F.lit(MASK)).otherwise(_map_value(v, kind.valueType)))
     return column
 
 
+def _map_value(value: Column, kind: T.DataType) -> Column:
+    """A map's value beside masked ones: text as it is, anything else redacted and as JSON."""
+    if isinstance(kind, T.StringType):
+        return value
+    if isinstance(kind, T.StructType | T.ArrayType | T.MapType):
+        return F.to_json(redact_column(value, kind))
+    return value.cast("string")
+
+
 def redact_frame(df: DataFrame, slots_only: bool = False) -> DataFrame:
     """Every column redacted; with slots_only just those whose name ends in _ref."""
     return df.select(*(redact_column(F.col(f"`{f.name}`"), f.dataType, "" if slots_only else f.name).alias(f.name) if not slots_only or f.name.endswith("_ref") else F.col(f"`{f.name}`") for f in df.schema))

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import cut
+
 OUT = "pos bigint, key string, status string, output string, error string, attempts int"
 
 
@@ -38,11 +40,12 @@ def ceiling(failure: int, base: float = 1.0, cap: float = 60.0) -> float:
     return min(cap, base * 2 ** (failure - 1))
 
 
-def memoised_map(items: DataFrame, recorded: DataFrame, task: Callable[[str], object], *, retries: int = 0, concurrency: int = 8, collect: bool = False) -> DataFrame:
-    """pos, key, status, output, error, attempts of items (pos, key, item), in the order of pos.
+def memoised_map(items: DataFrame, recorded: DataFrame, task: Callable[[str], object], *, retries: int = 0, concurrency: int = 8, collect: bool = False, ordered: bool = True) -> DataFrame:
+    """pos, key, status, output, error, attempts of items (pos, key, item), in the order of pos if that is wanted.
 
     recorded (key, output) are hits and do not run. A failing item is tried retries times more; then, with collect, its
-    slot holds the error, else the first failure in the order of pos is raised.
+    slot holds the error, else the first failure in the order of pos is raised. The outcomes are written to the shared
+    folder before anything reads them, so whatever is done with the result, no task runs again.
     """
     check_keys(items)
     found = hits(items, recorded.select("key", "output"), ["key"]).select("pos", "key", F.lit("hit").alias("status"), "output", F.lit(None).cast("string").alias("error"), F.lit(0).alias("attempts"))
@@ -62,13 +65,13 @@ def memoised_map(items: DataFrame, recorded: DataFrame, task: Callable[[str], ob
                             traceback.clear_frames(e.__traceback__)
             yield pd.DataFrame(rows, columns=["pos", "key", "status", "output", "error", "attempts"])
 
-    ran = misses(items, recorded, ["key"]).select("pos", "key", "item").repartition(concurrency).mapInPandas(run, OUT)
+    ran = cut(misses(items, recorded, ["key"]).select("pos", "key", "item").repartition(concurrency).mapInPandas(run, OUT), "outcomes")
     out = found.unionByName(ran)
     if not collect:
-        first = out.agg(F.min_by("error", F.when(F.col("status") == "failed", F.col("pos"))).alias("e")).first()["e"]
+        first = ran.agg(F.min_by("error", F.when(F.col("status") == "failed", F.col("pos"))).alias("e")).first()["e"]
         if first:
             raise RuntimeError(first)
-    return out.orderBy("pos")
+    return out.orderBy("pos") if ordered else out
 
 
 def gather(*branches: DataFrame) -> DataFrame:

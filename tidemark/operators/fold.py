@@ -68,6 +68,20 @@ def task_detail(j: DataFrame) -> DataFrame:
     return call.join(tries, ["run_id", "identity"], "left")
 
 
+def task_detail_full(j: DataFrame) -> DataFrame:
+    """task_detail with each attempt's error, delay and usage, and the call's status and the run's error."""
+    started = F.sum(F.when(F.col("type") == "TaskAttemptStarted", 1).otherwise(0)).over(by_call())
+    ends = j.where(F.col("type").isin("TaskAttemptStarted", "TaskAttemptFailed", "TaskCompleted")).withColumn("n", started).where("n > 0 and type <> 'TaskAttemptStarted'")
+    failed = of("TaskAttemptFailed", F.concat_ws(": ", "error_type", "error_message"))
+    delay = of("TaskAttemptFailed", "next_delay")
+    last = ends.groupBy("run_id", "identity", "n").agg(F.max_by(failed, F.when(failed.isNotNull(), F.col("seq"))).alias("error"), F.max_by(delay, F.when(delay.isNotNull(), F.col("seq"))).alias("next_delay"), F.sum("usage_in").alias("usage_in"), F.sum("usage_out").alias("usage_out"))
+    tries = attempts(j).join(last.withColumnRenamed("n", "attempt_no"), ["run_id", "identity", "attempt_no"], "left")
+    listed = tries.groupBy("run_id", "identity").agg(F.sort_array(F.collect_list(F.struct("attempt_no", "status", "seconds", "error", "next_delay", "usage_in", "usage_out"))).alias("attempts"))
+    runs = run_status(j)
+    calls = task_status(task_scan(j), runs).select("run_id", "identity", "status")
+    return task_detail(j).drop("attempts").join(listed, ["run_id", "identity"], "left").join(calls, ["run_id", "identity"]).join(runs.select("run_id", F.col("last_error").alias("run_error")), "run_id")
+
+
 def downtime(j: DataFrame) -> DataFrame:
     """Seconds between a resumption and the event before it; null for a first event."""
     before = j.withColumn("before", F.lag("ts").over(by_seq()))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.display import event_kind, summary
+from tidemark.functions.values import MASK, redact_json, sensitive
 
 from .fold import of, run_status, seconds, task_scan, task_status
 
@@ -75,3 +76,35 @@ def child_links(scheduled: DataFrame, runs: DataFrame) -> DataFrame:
     """Children with their runs' status; a child without a run is unknown."""
     known = runs.select(F.col("run_id").alias("child_run_id"), F.col("status").alias("child_status"))
     return scheduled.join(known, "child_run_id", "left").withColumn("child_status", F.coalesce("child_status", F.lit("unknown")))
+
+
+def redacted(view: DataFrame, json_columns: tuple[str, ...] = ("input", "output", "input_ref", "output_ref", "payload")) -> DataFrame:
+    """A view as readers see it: JSON columns redacted at any depth, columns of a sensitive name masked whole."""
+    shown = {c: F.when(F.col(c).isNotNull(), F.lit(MASK)).alias(c) if sensitive(c) else redact_json(F.col(c)).alias(c) if c in json_columns else F.col(c) for c in view.columns}
+    return view.select(*shown.values())
+
+
+def timeline_header(j: DataFrame, current_version: str) -> DataFrame:
+    """What stands above a run's timeline: its row of the run list, its span of seq, and versions side by side."""
+    span = j.groupBy("run_id").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
+    version = F.struct(F.col("code_version").alias("stamped"), F.lit(current_version).alias("current"), F.col("version_mismatch").alias("mismatch"))
+    return run_list(j, current_version).join(span, "run_id").withColumn("version", version).drop("code_version", "version_mismatch")
+
+
+def tree_nodes(j: DataFrame) -> DataFrame:
+    """Nodes of the runs' trees: run_id, node, parent (null under the run), kind (map, task or child), name, status, seq.
+
+    Map groups hold their items' calls; a child node names the run whose own nodes continue the tree. Nodes of a run are
+    ordered by seq, the place at which each was first scheduled.
+    """
+    runs = run_status(j)
+    calls = task_status(task_scan(j), runs)
+    names = j.where("type = 'TaskScheduled'").groupBy("run_id", "identity").agg(F.max("task_name").alias("name"))
+    grouped = F.when(F.col("map_group").isNotNull(), F.concat(F.lit("map:"), "map_group"))
+    tasks = calls.join(names, ["run_id", "identity"], "left").select("run_id", F.concat(F.lit("task:"), "identity").alias("node"), grouped.alias("parent"), F.lit("task").alias("kind"), "name", "status", F.col("first_seq").alias("seq"))
+    status = F.when(F.bool_or(F.col("status") == "failed"), "failed").when(F.bool_and(F.col("status") == "completed"), "completed").otherwise("running")
+    groups = tasks.where("parent is not null").groupBy("run_id", "parent").agg(status.alias("status"), F.min("seq").alias("seq"))
+    maps = groups.select("run_id", F.col("parent").alias("node"), F.lit(None).cast("string").alias("parent"), F.lit("map").alias("kind"), F.regexp_replace("parent", "^map:", "").alias("name"), "status", "seq")
+    children = j.where("type = 'ChildWorkflowScheduled'").groupBy("run_id", "child_run_id").agg(F.min("seq").alias("seq"), F.max("workflow_name").alias("name"))
+    children = child_links(children, runs).select("run_id", F.concat(F.lit("child:"), "child_run_id").alias("node"), F.lit(None).cast("string").alias("parent"), F.lit("child").alias("kind"), "name", F.col("child_status").alias("status"), "seq")
+    return tasks.unionByName(maps).unionByName(children)

@@ -297,11 +297,9 @@ def misses(spark, d):
     return fanout.misses(*_requests(spark, d), ["k"])
 
 
-def _map_items(spark, d, first: int | None = None):
-    """Whole texts, or their first characters for the twins that read only those."""
+def _map_items(spark, d):
     docs = table(spark, d, "documents")
-    text = F.coalesce("text", F.lit(""))
-    items = docs.select(F.col("doc_id").alias("pos"), F.col("doc_id").cast("string").alias("key"), (F.substring(text, 1, first) if first else text).alias("item"))
+    items = docs.select(F.col("doc_id").alias("pos"), F.col("doc_id").cast("string").alias("key"), F.coalesce("text", F.lit("")).alias("item"))
     return items, items.where("pos % 3 = 0").select("key", F.to_json(F.struct(F.length("item").alias("n"))).alias("output"))
 
 
@@ -311,23 +309,18 @@ def _count_chars(item: str) -> dict:
     return {"n": len(item)}
 
 
-_MAP = """SELECT doc_id AS pos, doc_id::VARCHAR AS key, CASE WHEN doc_id % 3 = 0 THEN 'hit' WHEN bad THEN 'failed' ELSE 'completed' END AS status, CASE WHEN doc_id % 3 = 0 OR NOT bad THEN '{"n":' || length(item) || '}' END AS output, CASE WHEN doc_id % 3 <> 0 AND bad THEN 'ValueError: begins with ' || item[1] END AS error, CASE WHEN doc_id % 3 = 0 THEN 0 WHEN bad THEN 3 ELSE 1 END::INT AS attempts
-FROM (SELECT doc_id, substring(text, 1, 20) AS item, substring(text, 1, 1) IN ('A', 'E', 'I', 'O', 'U', '') AS bad FROM documents)"""
+_MAP_TEXTS = """SELECT doc_id AS pos, doc_id::VARCHAR AS key, CASE WHEN doc_id % 3 = 0 THEN 'hit' WHEN bad THEN 'failed' ELSE 'completed' END AS status, CASE WHEN doc_id % 3 = 0 OR NOT bad THEN '{"n":' || length(item) || '}' END AS output, CASE WHEN doc_id % 3 <> 0 AND bad THEN 'ValueError: begins with ' || substring(item, 1, 1) END AS error, CASE WHEN doc_id % 3 = 0 THEN 0 WHEN bad THEN 3 ELSE 1 END::INT AS attempts
+FROM (SELECT doc_id, coalesce(text, '') AS item, substring(coalesce(text, ''), 1, 1) IN ('A', 'E', 'I', 'O', 'U', '') AS bad FROM documents)"""
 
 
-@query(_MAP)
+@query(_MAP_TEXTS)
 def collect_map(spark, d):
-    return fanout.memoised_map(*_map_items(spark, d, 20), _count_chars, retries=2, collect=True)
+    return fanout.memoised_map(*_map_items(spark, d), _count_chars, retries=2, collect=True, ordered=False)
 
 
-@query("SELECT * EXCLUDE (attempts), least(attempts, 1) AS attempts FROM (" + _MAP + ") WHERE status <> 'failed'")
+@query("SELECT pos, key, status, CASE WHEN status = 'hit' THEN output ELSE '{\"bad\":' || bad || ',\"n\":' || length(item) || '}' END AS output, NULL::VARCHAR AS error, CASE WHEN status = 'hit' THEN 0 ELSE 1 END::INT AS attempts FROM (SELECT doc_id AS pos, doc_id::VARCHAR AS key, CASE WHEN doc_id % 3 = 0 THEN 'hit' ELSE 'completed' END AS status, coalesce(text, '') AS item, '{\"n\":' || length(coalesce(text, '')) || '}' AS output, substring(coalesce(text, ''), 1, 1) IN ('A', 'E', 'I', 'O', 'U', '') AS bad FROM documents)")
 def memoised_map(spark, d):
-    items, done = _map_items(spark, d, 20)
-    return fanout.memoised_map(items.where("pos % 3 = 0 or (item <> '' and substring(item, 1, 1) not in ('A', 'E', 'I', 'O', 'U'))"), done, _count_chars)
-
-
-_MAP_TEXTS = """SELECT doc_id AS pos, doc_id::VARCHAR AS key, CASE WHEN doc_id % 3 = 0 THEN 'hit' WHEN bad THEN 'failed' ELSE 'completed' END AS status, CASE WHEN doc_id % 3 = 0 OR NOT bad THEN '{"n":' || length(item) || '}' END AS output, CASE WHEN doc_id % 3 <> 0 AND bad THEN 'ValueError: begins with ' || substring(item, 1, 1) END AS error, CASE WHEN doc_id % 3 = 0 THEN 0 WHEN bad THEN 3 ELSE 1 END::INT AS attempts
-FROM (SELECT doc_id, coalesce(text, '') AS item, substring(coalesce(text, ''), 1, 1) IN ('A', 'E', 'I', 'O', 'U', '') AS bad FROM documents)"""
+    return fanout.memoised_map(*_map_items(spark, d), lambda item: {"bad": item[:1] in "AEIOU", "n": len(item)}, ordered=False)
 
 
 @query(_MAP_TEXTS)
@@ -596,9 +589,9 @@ def display_formats(spark, d):
     return table(spark, d, "events").select("event_id", display.clock(F.col("ts")).alias("clock"), display.minute(F.col("ts")).alias("minute"), display.duration(F.col("value")).alias("duration"), display.short(F.col("event_type"), 6).alias("short"))
 
 
-@query(J + " SELECT run_id, arg_min(code_version, seq) <> 'v1' AS mismatch FROM j WHERE run_id <> '7' GROUP BY run_id")
+@query(J + " SELECT run_id, arg_min(code_version, seq) <> 'v1' AS mismatch FROM j GROUP BY run_id")
 def version_mismatch(spark, d):
-    return journal(spark, d).where("run_id <> '7'").groupBy("run_id").agg((F.min_by("code_version", "seq") != "v1").alias("mismatch"))
+    return journal(spark, d).groupBy("run_id").agg((F.min_by("code_version", "seq") != "v1").alias("mismatch"))
 
 
 @query(J + " SELECT type AS command, seq, run_id, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS place FROM j WHERE type IN ('WorkflowCreated', 'WorkflowCancelled', 'ExternalEventReceived', 'RunForked')")
@@ -606,9 +599,9 @@ def command_log(spark, d):
     return journal(spark, d).where(F.col("type").isin("WorkflowCreated", "WorkflowCancelled", "ExternalEventReceived", "RunForked")).select(F.col("type").alias("command"), "seq", "run_id", F.row_number().over(fold.by_seq()).cast("bigint").alias("place"))
 
 
-@query(J.replace("j AS (", "jj AS (") + ", j AS (SELECT * FROM jj WHERE seq <= 6)" + SCAN + " SELECT run_id, n_events + 1 AS seq, 'WorkflowCancelled' AS type FROM st WHERE status NOT IN ('completed', 'failed', 'cancelled')")
+@query(J + SCAN + " SELECT run_id, n_events + 1 AS seq, 'WorkflowCancelled' AS type FROM st WHERE status NOT IN ('completed', 'failed', 'cancelled')")
 def cancel_runs(spark, d):
-    st = fold.run_status(journal(spark, d).where("seq <= 6"))  # before most runs have ended
+    st = fold.run_status(journal(spark, d))
     return st.where(~F.col("status").isin("completed", "failed", "cancelled")).select("run_id", (F.col("n_events") + 1).alias("seq"), F.lit("WorkflowCancelled").alias("type"))
 
 
@@ -626,3 +619,53 @@ def _cancels(j: DataFrame) -> DataFrame:
 @query(J + SCAN + " SELECT run_id, max(seq) + 1 AS seq, 'WorkflowCancelled' AS type FROM j WHERE run_id IN (SELECT run_id FROM st WHERE status NOT IN ('completed', 'failed', 'cancelled')) GROUP BY run_id")
 def cancel_open_runs(spark, d):
     return _cancels(journal(spark, d))
+
+
+@query(J + SCAN + """, t AS (SELECT ts.run_id, 'task:' || ts.identity AS node, CASE WHEN map_group IS NOT NULL THEN 'map:' || map_group END AS parent, 'task' AS kind, n.name, status, first_seq AS seq FROM ts LEFT JOIN (SELECT run_id, identity, max(task_name) AS name FROM j WHERE type = 'TaskScheduled' GROUP BY ALL) n USING (run_id, identity))
+SELECT * FROM t UNION ALL SELECT run_id, parent AS node, NULL, 'map', substring(parent, 5), CASE WHEN bool_or(status = 'failed') THEN 'failed' WHEN bool_and(status = 'completed') THEN 'completed' ELSE 'running' END, min(seq) FROM t WHERE parent IS NOT NULL GROUP BY run_id, parent
+UNION ALL SELECT c.run_id, 'child:' || child_run_id, NULL, 'child', c.name, coalesce(st.status, 'unknown'), c.seq FROM (SELECT run_id, child_run_id, max(workflow_name) AS name, min(seq) AS seq FROM j WHERE type = 'ChildWorkflowScheduled' GROUP BY ALL) c LEFT JOIN st ON st.run_id = child_run_id""")
+def tree_nodes(spark, d):
+    return views.tree_nodes(journal(spark, d))
+
+
+@query(J + SCAN + """, h AS (SELECT run_id, arg_min(workflow_name, seq) AS workflow_name, arg_min(code_version, seq) FILTER (WHERE type = 'WorkflowCreated') AS stamped, min(seq) AS first_seq, max(seq) AS last_seq FROM j GROUP BY run_id)
+SELECT run_id, workflow_name, status, stamped, 'v1' AS current, coalesce(stamped <> 'v1', false) AS mismatch, first_seq, last_seq FROM h JOIN st USING (run_id)""")
+def timeline_header(spark, d):
+    return views.timeline_header(journal(spark, d), "v1").select("run_id", "workflow_name", "status", "version.*", "first_seq", "last_seq")
+
+
+@query(J + SCAN + f""", a AS ({ATTEMPTS}), e AS (SELECT run_id, identity, n, arg_max(CASE WHEN type = 'TaskAttemptFailed' THEN error_type || ': ' || error_message END, seq) AS error, arg_max(CASE WHEN type = 'TaskAttemptFailed' THEN next_delay END, seq) AS next_delay, sum(usage_in) AS usage_in, sum(usage_out) AS usage_out FROM {_AT} WHERE n > 0 AND type <> 'TaskAttemptStarted' GROUP BY ALL)
+SELECT ts.run_id, ts.identity, ts.status, st.last_error AS run_error, string_agg(attempt_no || ' ' || a.status || ' ' || coalesce(error, '-') || ' ' || coalesce(e.usage_in::BIGINT::VARCHAR, '-') || ' ' || coalesce(e.usage_out::BIGINT::VARCHAR, '-'), ', ' ORDER BY attempt_no) AS attempts, sum(e.next_delay) AS delays
+FROM ts JOIN st USING (run_id) LEFT JOIN a ON a.run_id = ts.run_id AND a.identity = ts.identity LEFT JOIN e ON e.run_id = a.run_id AND e.identity = a.identity AND e.n = a.attempt_no GROUP BY ts.run_id, ts.identity, ts.status, st.last_error""")
+def task_detail_full(spark, d):
+    t = fold.task_detail_full(journal(spark, d))
+    dash = lambda c: F.coalesce(c.cast("string"), F.lit("-"))
+    line = F.transform("attempts", lambda a: F.concat_ws(" ", a["attempt_no"].cast("string"), a["status"], dash(a["error"]), dash(a["usage_in"]), dash(a["usage_out"])))
+    delays = F.transform(F.filter("attempts", lambda a: a["next_delay"].isNotNull()), lambda a: a["next_delay"])
+    total = F.when(F.size(delays) > 0, F.aggregate(delays, F.lit(0.0), lambda s, x: s + x))
+    return t.select("run_id", "identity", "status", "run_error", F.array_join(line, ", ").alias("attempts"), total.alias("delays"))
+
+
+@query(J + _POINTS + """, f AS (SELECT j.run_id, j.run_id || '-fork' AS fork, seq, type, epoch_us(ts) AS ts, '{"k":' || k || '}' AS payload FROM j JOIN p USING (run_id) WHERE seq <= fork_point)
+SELECT fork AS run_id, seq, substring(sha256(fork || '#' || seq), 1, 32) AS event_id, type, ts, payload FROM f
+UNION ALL SELECT run_id || '-fork', max(seq) + 1, substring(sha256(run_id || '-fork#' || (max(seq) + 1)), 1, 32), 'RunForked', arg_max(ts, seq), '{"source_run_id":"' || run_id || '","fork_point_seq":' || max(seq) || '}' FROM f GROUP BY run_id""")
+def fork_journal(spark, d):
+    j = journal(spark, d)
+    events = j.select("run_id", "seq", "event_id", "type", F.col("ts").cast("timestamp").alias("ts"), F.to_json(F.struct("k")).alias("payload"))
+    return lineage.fork_journal(events, lineage.fork_point_before(j, "task_2")).withColumn("ts", F.unix_micros("ts"))
+
+
+@query(J + """ SELECT run_id, identity, max(CASE WHEN type = 'TaskScheduled' THEN '{"api_token":"***REDACTED***","v":' || k || '}' END) AS input, max(CASE WHEN type = 'TaskCompleted' THEN '***REDACTED***' END) AS session_token FROM j WHERE identity IS NOT NULL GROUP BY run_id, identity""".replace("max(CASE WHEN type = 'TaskScheduled' THEN", "arg_max(CASE WHEN type = 'TaskScheduled' THEN").replace("END) AS input", "END, seq) FILTER (WHERE type = 'TaskScheduled') AS input"))
+def redacted_views(spark, d):
+    j = journal(spark, d).where("identity is not null")
+    text = F.concat(F.lit('{"api_token":"x","v":'), F.col("k").cast("string"), F.lit("}"))
+    view = j.groupBy("run_id", "identity").agg(F.max_by(fold.of("TaskScheduled", text), fold.of("TaskScheduled")).alias("input"), F.max(fold.of("TaskCompleted", "output_ref")).alias("session_token"))
+    return views.redacted(view)
+
+
+@query("""SELECT event_id, CASE WHEN k % 2 = 0 THEN '***REDACTED***' ELSE k::VARCHAR END AS value FROM (SELECT event_id, cast(json_extract_string(props, '$.k') AS bigint) AS k FROM events)""")
+def redact_map(spark, d):
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    name = F.when(k % 2 == 0, "user_password").otherwise("count")
+    e = table(spark, d, "events").select("event_id", F.create_map(name, k).alias("body"), name.alias("name"))
+    return values.redact_frame(e.select("event_id", "body", "name")).select("event_id", F.element_at("body", F.col("name")).alias("value"))
