@@ -43,13 +43,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Shuffle files of a finished job go when the driver's JVM collects what referred to them: ask for that now."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write df to the shared folder and read it back: no lineage behind it, no copy on one executor only."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    # shuffle files of the finished job go when the driver's JVM collects what referred to them; ask for that now
-    spark.sparkContext._jvm.System.gc()
+    collect_garbage(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
     return out
