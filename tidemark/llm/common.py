@@ -12,9 +12,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.session import cut, discard, shared_dir, ship
+from tidemark.session import collect_garbage, cut, discard, shared_dir, ship
 
-__all__ = ["Bits", "Hasher", "cut", "discard", "filter_of", "ids_and_texts", "mix", "prepare", "runs", "shared_dir", "sketch", "table", "texts_of"]
+__all__ = ["Bits", "Hasher", "collect_garbage", "cut", "discard", "filter_of", "ids_and_texts", "mix", "prepare", "runs", "shared_dir", "sketch", "table", "texts_of"]
 
 U64 = np.uint64
 #: Rows of whole texts in one Arrow batch; long texts make rows of 100 kB.

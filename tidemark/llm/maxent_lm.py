@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, U64, cut, hasher, ids_and_texts, mix, slices, texts_of
+from .common import SPACE, U64, collect_garbage, cut, hasher, ids_and_texts, mix, slices, texts_of
 
 GROUPS = 16
 CLASSES = GROUPS * GROUPS
@@ -195,6 +195,7 @@ def trained(train: DataFrame, own: np.ndarray, weights: np.ndarray, rounds: int,
         if n:
             weights = (flat / n).astype(np.float32).reshape(weights.shape)
         start.unpersist()
+        collect_garbage(train.sparkSession)
     return weights
 
 
@@ -306,5 +307,6 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", round
         return pa.table([left.column("doc_id"), left.column("held_out"), pa.array(n.astype(np.int64)), pa.array(k.astype(np.int64)), pa.array(np.full(m, total, np.int64)), pa.array(base), pa.array(log)], schema=out)
 
     # a common word is in every chunk: its row of totals meets many, in a join whose large partitions can be split
-    dictionary = local.select("chunk", "h").distinct().join(totals.select("h", "c"), "h").select("chunk", "h", "c")
+    # (a chunk that two tasks counted may have a word twice, with the same total)
+    dictionary = local.select("chunk", "h").join(totals.select("h", "c"), "h").select("chunk", "h", "c")
     return dealt.groupBy("chunk").cogroup(dictionary.groupBy("chunk")).applyInArrow(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
