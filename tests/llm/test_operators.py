@@ -402,3 +402,16 @@ def test_language_model_defined_cases(spark):
     out = maxent_lm.score(docs, chunk_bytes=100).collect()
     assert sorted(((r.doc_id is not None, r.doc_id or 0), r.n_tokens) for r in out) == [((False, 0), 2), ((True, 1), 3), ((True, 1), 3), ((True, 1), 3), ((True, 2), 1), ((True, 3), 1), ((True, 4), 50_001)]
     assert len({(r.base_score, r.score) for r in out if r.doc_id == 1}) == 1
+
+
+def test_url_filter_of_repeated_rows_and_odd_columns(spark):
+    pages = spark.createDataFrame([(1, "http://a.com/en/"), (1, "http://a.com/en/"), (None, "http://a.com/fr"), (2, "http://b.org/" + "x/" * 5000)], "page_id bigint, url string").withColumn("token", F.lit(1)).withColumn("a.b", F.lit(1))
+    want = Counter([(1, "block"), (1, "block"), (None, "allow"), (2, "allow")])
+    few = url_filter.BROADCAST_RULES
+    for most in (few, 0):
+        url_filter.BROADCAST_RULES = most
+        try:
+            assert Counter((r.page_id, r.verdict) for r in url_filter.url_filter(pages).collect()) == want
+            assert url_filter.url_filter(pages.limit(0)).count() == 0
+        finally:
+            url_filter.BROADCAST_RULES = few

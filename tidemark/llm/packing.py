@@ -8,8 +8,9 @@ more by fewer tasks, so the number of half-filled sequences does not follow the
 A document is its ids and the id `end`. Only a document longer than `length` is cut: into pieces of `length`, of which
 the first may be shorter. Tokenising and packing happen in one pass over the documents, without a shuffle of texts.
 
-Defined cases: a null or empty text is the id `end` alone; a null or repeated id is carried as it is; an empty table
-gives no pieces.
+Defined cases: a null or empty text is the id `end` alone; a text of any length is cut into as many pieces as it needs; of
+bins with equal free space the last one used is taken; a null or repeated id is carried as it is; other columns are not
+read; an empty table gives no pieces.
 """
 
 from __future__ import annotations

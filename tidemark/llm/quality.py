@@ -8,7 +8,9 @@ in repeated 8-word windows) come first.
 Windows are compared by a 64-bit hash of their eight words. Work is linear in the text, but for the sort of the windows
 of texts that do repeat some.
 
-Defined cases: a null or blank text has no words, so it fails the base rule; its counts are 0. Words are runs of other
+Defined cases: a null or blank text has no words, so it fails the base rule; its counts are 0; a text of any length is
+judged whole; distances at a limit are kept; repeated rows are judged one by one; columns to carry may have any names; an
+empty table gives no rows; a long text in a language without a reference fails the word rule. Words are runs of other
 characters than space, tab, line feed, vertical tab, form feed and carriage return.
 """
 
@@ -98,7 +100,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cha
     """
     text = F.col("text")
     common = sorted({w for ws in WORD_REFERENCES.values() for w in ws})
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *([F.struct(*(F.col(c) for c in carry)).alias("carried")] if carry else []))
+    d = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"), *([F.struct(*(F.col(f"`{c}`") for c in carry)).alias("carried")] if carry else []))
     more = ["carried"] if carry else []
     d = with_window_hashes(d.withColumn("words", words_of(text)).withColumn("lines", F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{WHITE}]"))))
     # words of the references: found by their usual spellings, then lower-cased and rid of points at the end
