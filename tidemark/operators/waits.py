@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+from collections import deque
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -49,26 +51,28 @@ def fold_waits(rows: Iterable[tuple]) -> Iterator[tuple]:
     """(wait_id, row_id or None, at) for rows (at, order, is_wait, id, deadline) of one key in time order.
 
     A wait takes the oldest event that no other took, even one from before it; at its deadline it ends without one, but
-    an event of the same instant still wins. What is left waiting at the end gives nothing.
+    an event of the same instant still wins. What is left waiting without a deadline at the end gives nothing.
     """
-    events: list[int] = []
-    waits: list[tuple[float, int]] = []
-    for at, _, is_wait, name, deadline in sorted(rows, key=lambda r: (r[0], r[1])):
-        for end, w in sorted(x for x in waits if x[0] < at):
-            waits.remove((end, w))
-            yield w, None, end
-        if is_wait:
-            if events:
-                yield name, events.pop(0), at
-            else:
-                waits.append((deadline, name))
+    events: deque[int] = deque()
+    waits: dict[int, int] = {}  # the open waits by place, oldest first
+    ends: list[tuple[float, int, int]] = []
+    for place, (at, _, is_wait, name, deadline) in enumerate(sorted(rows, key=lambda r: (r[0], r[1]))):
+        while ends and ends[0][0] < at:
+            end, p, w = heapq.heappop(ends)
+            if waits.pop(p, None) is not None:
+                yield w, None, end
+        if is_wait and events:
+            yield name, events.popleft(), at
+        elif is_wait:
+            waits[place] = name
+            heapq.heappush(ends, (deadline, place, name))
         elif waits:
-            end, w = waits.pop(0)
-            yield w, name, at
+            yield waits.pop(next(iter(waits))), name, at
         else:
             events.append(name)
-    for end, w in sorted(x for x in waits if x[0] != float("inf")):
-        yield w, None, end
+    for end, p, w in sorted(ends):
+        if p in waits and end != float("inf"):
+            yield w, None, end
 
 
 def match_with_timeouts(waits: DataFrame, inbox: DataFrame) -> DataFrame:

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from tidemark.functions import display, identity, values
-from tidemark.operators import fanout, fold, lineage, views, waits
+from tidemark.functions import display, identity, prompts, values
+from tidemark.operators import fanout, fold, lineage, runs, tasks, views, waits
 from tidemark.session import ship
 from tidemark.sources.journal import insert_new, next_seq, parse_lines, run_by_key
 
@@ -494,12 +494,24 @@ def timed(w: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
     return w.select("event_type", key, "wait_id", micros("started_at").alias("started_us"), (micros("started_at") + 3_600_000_000).alias("deadline_us")), b.select("event_type", key, "row_id", micros("received_at").alias("received_us"))
 
 
-@query()
+#: The fold of waits in SQL: one arrival of every key a step, with lists for what waits and what came unasked.
+_FOLD = J + _INBOX + """, arr AS (SELECT 't' || g AS event_type, coalesce(key::VARCHAR, '-') AS key, epoch_us(ts) AS tm, true AS is_wait, wait_id AS id, epoch_us(ts) + 3600000000 AS deadline FROM w UNION ALL SELECT 't' || g, coalesce(key::VARCHAR, '-'), epoch_us(ts), false, row_id, NULL FROM b),
+a AS (SELECT *, row_number() OVER (PARTITION BY event_type, key ORDER BY tm, is_wait, id) AS n, count(*) OVER (PARTITION BY event_type, key) AS total FROM arr),
+r AS (SELECT DISTINCT event_type, key, 0::BIGINT AS n, total, []::BIGINT[] AS ev, []::STRUCT(d BIGINT, i BIGINT)[] AS ws, []::STRUCT(i BIGINT, e BIGINT, t BIGINT)[] AS o FROM a
+ UNION ALL SELECT event_type, key, n, total, CASE WHEN is_wait THEN ev[2:] WHEN len(live) > 0 THEN ev ELSE list_append(ev, id) END,
+  CASE WHEN is_wait AND len(ev) > 0 THEN live WHEN is_wait THEN list_append(live, {'d': deadline, 'i': id}) ELSE live[2:] END,
+  list_concat(list_transform(dead, lambda x: {'i': x.i, 'e': NULL::BIGINT, 't': x.d}), CASE WHEN is_wait AND len(ev) > 0 THEN [{'i': id, 'e': ev[1], 't': tm}] WHEN NOT is_wait AND len(live) > 0 THEN [{'i': live[1].i, 'e': id, 't': tm}] ELSE [] END)
+ FROM (SELECT r.event_type, r.key, a.n, r.total, ev, is_wait, id, tm, deadline, list_filter(ws, lambda x: x.d >= tm) AS live, list_filter(ws, lambda x: x.d < tm) AS dead FROM r JOIN a ON a.event_type = r.event_type AND a.key = r.key AND a.n = r.n + 1)),
+m AS (SELECT event_type, key, unnest(o) AS x FROM r UNION ALL SELECT event_type, key, unnest(list_transform(ws, lambda y: {'i': y.i, 'e': NULL::BIGINT, 't': y.d})) FROM r WHERE n = total)
+SELECT event_type, key, x.i AS wait_id, x.e AS row_id, x.t AS "at" FROM m"""
+
+
+@query(_FOLD)
 def fifo_timeout_match(spark, d):
     return waits.match_with_timeouts(*timed(*_inbox(spark, d)))
 
 
-@query()
+@query(_FOLD)
 def stream_wait_match(spark, d):
     from tidemark.streaming.waits import run_available
 
@@ -669,3 +681,71 @@ def redact_map(spark, d):
     name = F.when(k % 2 == 0, "user_password").otherwise("count")
     e = table(spark, d, "events").select("event_id", F.create_map(name, k).alias("body"), name.alias("name"))
     return values.redact_frame(e.select("event_id", "body", "name")).select("event_id", F.element_at("body", F.col("name")).alias("value"))
+
+
+def _shout(attempt: tasks.Attempt, text: str) -> dict:
+    attempt.record_usage("m", len(text), 1)
+    if text[:1] in "AEIOU":
+        raise ValueError(f"begins with {text[:1]}")
+    return {"n": len(text)}
+
+
+def _calls(spark, d):
+    """One call a document; those of every third are recorded as done, every fifth of the others has failed once."""
+    docs = table(spark, d, "documents").where("doc_id is not null")
+    calls = docs.select((F.col("doc_id") % 50).cast("string").alias("run_id"), F.col("doc_id").alias("pos"), F.col("doc_id").cast("string").alias("key"), F.lit(None).cast("bigint").alias("ordinal"), F.coalesce("text", F.lit("")).alias("input"))
+    i = F.col("pos")
+    kinds = F.when(i % 3 == 0, F.array(F.lit("TaskScheduled"), F.lit("TaskAttemptStarted"), F.lit("TaskCompleted"))).when(i % 5 == 1, F.array(F.lit("TaskScheduled"), F.lit("TaskAttemptStarted"), F.lit("TaskAttemptFailed")))
+    return calls, calls.select("run_id", F.concat(F.lit("shout:key:"), "key").alias("identity"), F.explode(kinds).alias("type"), F.lit(1).alias("attempt"))
+
+
+@query("""WITH c AS (SELECT doc_id, coalesce(text, '') AS text, CASE WHEN doc_id % 5 = 1 THEN 1 ELSE 0 END AS tried, substring(coalesce(text, ''), 1, 1) IN ('', 'A', 'E', 'I', 'O', 'U') AS bad FROM documents WHERE doc_id % 3 <> 0),
+n AS (SELECT *, unnest(range(tried + 1, CASE WHEN bad THEN 4 ELSE tried + 2 END)) AS attempt FROM c)
+SELECT (doc_id % 50)::VARCHAR AS run_id, 'shout:key:' || doc_id AS identity, 0 AS step, 'TaskScheduled' AS type, NULL::INT AS attempt, NULL AS output, NULL AS error, NULL::BOOLEAN AS again, NULL::BIGINT AS billed FROM c WHERE tried = 0
+UNION ALL SELECT (doc_id % 50)::VARCHAR, 'shout:key:' || doc_id, 2 * (attempt - tried) - 1, 'TaskAttemptStarted', attempt, NULL, NULL, NULL, NULL FROM n
+UNION ALL SELECT (doc_id % 50)::VARCHAR, 'shout:key:' || doc_id, 2 * (attempt - tried), CASE WHEN bad THEN 'TaskAttemptFailed' ELSE 'TaskCompleted' END, attempt, CASE WHEN NOT bad THEN '{"n":' || length(text) || '}' END, CASE WHEN bad THEN 'ValueError: begins with ' || substring(text, 1, 1) END, CASE WHEN bad THEN attempt < 3 END, length(text) FROM n""")
+def task_events(spark, d):
+    e = tasks.run_tasks(*_calls(spark, d), tasks.Task("shout", _shout, retries=2), wait=False)
+    again = F.when(F.col("type") == "TaskAttemptFailed", F.col("next_delay").isNotNull())
+    return e.select("run_id", "identity", "step", "type", "attempt", F.col("output_ref").alias("output"), F.when(F.col("error").isNotNull(), F.concat_ws(": ", "error.type", "error.message")).alias("error"), again.alias("again"), F.get("usage", F.lit(0))["input_tokens"].alias("billed"))
+
+
+@query(J + " SELECT run_id, identity, count(*) AS n_attempts, count(*) FILTER (WHERE type = 'TaskAttemptFailed' AND next_delay IS NOT NULL) AS will_retry, count(*) FILTER (WHERE type = 'TaskAttemptFailed' AND next_delay IS NULL) AS exhausted, bool_or(usage_in IS NOT NULL) AS has_usage, bool_or(type = 'TaskAttemptFailed' AND usage_in IS NOT NULL) AS billed_failed FROM j WHERE type IN ('TaskAttemptFailed', 'TaskCompleted') GROUP BY run_id, identity")
+def attempt_flags(spark, d):
+    return tasks.attempt_flags(journal(spark, d))
+
+
+@query("""SELECT o_orderkey AS request_id, CASE WHEN o_orderkey % 7 = 0 THEN o_custkey::VARCHAR WHEN c.run_id IS NOT NULL THEN c.run_id ELSE 'run-' || substring(sha256('kc' || o_custkey), 1, 32) END AS run_id,
+ CASE WHEN o_orderkey % 7 = 0 OR c.run_id IS NOT NULL THEN CASE WHEN o_custkey % 2 = 0 THEN 'none' ELSE 'resume' END WHEN row_number() OVER (PARTITION BY o_custkey, o_orderkey % 7 = 0 ORDER BY o_orderkey) = 1 THEN 'create' ELSE 'none' END AS action
+FROM orders LEFT JOIN (SELECT c_custkey, c_custkey::VARCHAR AS run_id FROM customer WHERE c_custkey % 3 = 0) c ON c_custkey = o_custkey""")
+def start_runs(spark, d):
+    """A customer is a run, every third with a key; an order asks for its customer's run by id or by key."""
+    c = F.col("c_custkey")
+    known = table(spark, d, "customer").select(c.cast("string").alias("run_id"), F.when(c % 3 == 0, F.concat(F.lit("c"), c.cast("string"))).alias("idempotency_key"), c.alias("created_at"), F.when(c % 2 == 0, "completed").otherwise("running").alias("status"))
+    o = F.col("o_custkey")
+    asked = table(spark, d, "orders").select(F.col("o_orderkey").alias("request_id"), F.when(F.col("o_orderkey") % 7 == 0, o.cast("string")).alias("run_id"), F.concat(F.lit("c"), o.cast("string")).alias("idempotency_key"))
+    return runs.start_runs(asked, known)
+
+
+@query("""SELECT o_custkey::VARCHAR AS run_id, child_key, substring(sha256(o_custkey || chr(0) || 'child' || chr(0) || child_key), 1, 32) AS child_run_id, CASE child_key WHEN 'F' THEN 'result' WHEN 'O' THEN 'raise' ELSE 'create' END AS action FROM (SELECT DISTINCT o_custkey, o_orderstatus AS child_key FROM orders)""")
+def start_children(spark, d):
+    calls = table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("run_id"), F.col("o_orderstatus").alias("child_key"))
+    child = F.substring(F.sha2(F.concat_ws("\0", "run_id", F.lit("child"), "child_key"), 256), 1, 32)
+    known = calls.distinct().where("child_key in ('F', 'O')").select(child.alias("run_id"), F.when(F.col("child_key") == "F", "completed").otherwise("failed").alias("status"))
+    return runs.start_children(calls, known)
+
+
+@query(J + _INBOX + """ SELECT 't' || g AS event_type, key::VARCHAR AS key, row_number() OVER (PARTITION BY g, key ORDER BY ts, row_id) AS row_id, '{"id":' || row_id || ',"token":"***REDACTED***"}' AS payload, row_number() OVER (PARTITION BY g, key ORDER BY ts, row_id) <= 2 AS consumed FROM b""")
+def inbox_after_sends(spark, d):
+    """Events arrive in the inbox, redacted; the first two of each (event_type, key) are taken."""
+    _, b = _inbox(spark, d)
+    sent = runs.send_events(b.select("event_type", "key", F.struct("received_at", "row_id").alias("received_at"), F.concat(F.lit('{"id":'), F.col("row_id").cast("string"), F.lit(',"token":"x"}')).alias("payload")))
+    return runs.consume(sent, sent.where("row_id <= 2")).drop("received_at")
+
+
+@query("""SELECT doc_id, trim(coalesce(regexp_extract('LANG: ' || coalesce(lang, '') || chr(10) || coalesce(text, ''), '^LANG: ([^\n\r]*)', 1), '')) AS lang, greatest(1, length(text) // 4)::BIGINT AS tokens, 0.5 + ('0x' || substring(sha256(doc_id::VARCHAR), 1, 2))::INT / 256.0::DOUBLE * 0.45 AS score, (greatest(1, length(text) // 4) * 3.0::DOUBLE + 15.0::DOUBLE) / 1000000 AS usd FROM documents""")
+def prompt_fields(spark, d):
+    docs = table(spark, d, "documents")
+    prompt = F.concat(F.lit("LANG: "), F.coalesce("lang", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit("")))
+    n = prompts.tokens(F.col("text"))
+    return docs.select("doc_id", prompts.named_field(prompt, "LANG").alias("lang"), n.alias("tokens"), prompts.score(F.col("doc_id").cast("string")).alias("score"), prompts.price(n, F.lit(1), 3.0, 15.0).alias("usd"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.operators.waits import fold_waits
-from tidemark.session import shared_dir, ship
+from tidemark.session import cut, shared_dir, ship
 
 MATCH = "event_type string, key string, wait_id bigint, row_id bigint, at bigint"
 
@@ -21,39 +21,58 @@ def wait_rows(waits: DataFrame, inbox: DataFrame) -> DataFrame:
     return w.union(inbox.select("event_type", "key", F.col("received_us").alias("at"), F.lit(False).alias("is_wait"), F.col("row_id").alias("id"), F.lit(None).cast("bigint").alias("deadline")))
 
 
+#: One open arrival of a key: a wait, or an event that nobody took yet.
+KEPT = "kept array<struct<at:bigint,is_wait:boolean,id:bigint,deadline:bigint>>"
+
+
 def match_stream(arrivals: DataFrame) -> DataFrame:
     """event_type, key, wait_id, row_id (null: timed out), at of a stream of arrivals.
 
     State of a key: what waits and what came unasked. A batch's events go before its deadlines, so an event that
-    arrives with its deadline wins; a wait ends when an arrival of its key is past the deadline.
+    arrives with its deadline wins; a wait ends when an arrival of its key is past the deadline. An arrival without an
+    id is the clock alone: it only ends waits.
     """
 
     def step(key, frames, state: GroupState):
-        rows = []
-        if state.exists:
-            (kept,) = state.get
-            rows = [(int(a), (0, 0), bool(w), int(i), float(d) if d else float("inf")) for a, w, i, d in (x.split(",") for x in kept.split(";") if x) for w in (w == "1",)]
+        end = lambda d: float("inf") if pd.isna(d) else float(d)
+        rows = [(a, (0, 0), w, i, end(d)) for a, w, i, d in (state.get[0] if state.exists else ())]
+        now = max((r[0] for r in rows), default=0)
         for pdf in frames:
-            rows += [(int(a), (1 if w else 0, int(i)), bool(w), int(i), float("inf") if pd.isna(d) else float(d)) for a, w, i, d in zip(pdf["at"], pdf["is_wait"], pdf["id"], pdf["deadline"], strict=True)]
-        now = max(r[0] for r in rows)
+            now = max(now, int(pdf["at"].max()))
+            known = pdf[pdf["id"].notna()]
+            rows += [(int(a), (1 if w else 0, int(i)), bool(w), int(i), end(d)) for a, w, i, d in zip(known["at"], known["is_wait"], known["id"], known["deadline"], strict=True)]
         found = [x for x in fold_waits(rows) if x[1] is not None or x[2] < now]
-        done = {("w", x[0]) for x in found} | {("e", x[1]) for x in found}
-        left = [r for r in rows if ("w" if r[2] else "e", r[3]) not in done]
-        state.update((";".join(f"{a},{int(w)},{i},{'' if d == float('inf') else int(d)}" for a, _, w, i, d in left),))
+        done = {(True, x[0]) for x in found} | {(False, x[1]) for x in found}
+        state.update(([(a, w, i, None if d == float("inf") else int(d)) for a, _, w, i, d in rows if (w, i) not in done],))
         yield pd.DataFrame({"event_type": [key[0]] * len(found), "key": [key[1]] * len(found), "wait_id": [x[0] for x in found], "row_id": pd.Series([x[1] for x in found], dtype=object), "at": [int(x[2]) for x in found]})
 
-    return arrivals.groupBy("event_type", "key").applyInPandasWithState(step, MATCH, "kept string", "append", GroupStateTimeout.NoTimeout)
+    return arrivals.groupBy("event_type", "key").applyInPandasWithState(step, MATCH, KEPT, "append", GroupStateTimeout.NoTimeout)
 
 
 def run_available(waits: DataFrame, inbox: DataFrame) -> DataFrame:
-    """All there is, through the stream once: arrivals are written to the shared folder and read as a stream."""
+    """All there is, through the stream: arrivals are written to the shared folder and read as a stream.
+
+    When the arrivals are through, the stream starts again from its state with one stroke of the clock for each key, past
+    every deadline, as a clock source would send: waits that are still open end without an event.
+    """
     spark = waits.sparkSession
     ship(spark)
     base = f"{shared_dir(spark)}/waits-{uuid.uuid4().hex}"
-    wait_rows(waits, inbox).write.parquet(f"{base}/in")
-    source = spark.readStream.schema(spark.read.parquet(f"{base}/in").schema).parquet(f"{base}/in")
-    sink = match_stream(source).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
-    sink.awaitTermination()
+    rows = wait_rows(waits, inbox)
+    rows.write.parquet(f"{base}/in")
+    given = spark.read.schema(rows.schema).parquet(f"{base}/in")
+
+    def drain():
+        source = spark.readStream.schema(rows.schema).parquet(f"{base}/in")
+        sink = match_stream(source).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+        sink.awaitTermination()
+
+    drain()
+    last = F.greatest(F.max("at"), F.coalesce(F.max("deadline"), F.max("at"))) + 1
+    strokes = cut(given.groupBy("event_type", "key").agg(last.alias("at")), "clock")
+    empty = F.lit(None).cast("bigint")
+    strokes.select("event_type", "key", "at", F.lit(True).alias("is_wait"), empty.alias("id"), empty.alias("deadline")).write.mode("append").parquet(f"{base}/in")
+    drain()
     return spark.read.schema(MATCH).parquet(f"{base}/out")
 
 
