@@ -415,3 +415,15 @@ def test_url_filter_of_repeated_rows_and_odd_columns(spark):
             assert url_filter.url_filter(pages.limit(0)).count() == 0
         finally:
             url_filter.BROADCAST_RULES = few
+
+
+def test_sketches_bound_the_difference_of_sets():
+    rng = np.random.default_rng(7)
+    for n, m, shared in ((600, 600, 580), (1024, 1025, 1000), (5000, 4100, 4000), (1030, 900, 10), (3000, 3000, 0)):
+        both = rng.integers(0, 1 << 63, n + m - shared, dtype=np.uint64)
+        x, y = both[:n], both[n - shared:]
+        apart = ngram_join.differing(ngram_join.large_sketch(x), ngram_join.large_sketch(y))
+        assert apart <= n + m - 2 * shared
+        if shared < 100:
+            assert apart > (n + m) // 9
+    assert ngram_join.large_sketch(both[:512]) is None

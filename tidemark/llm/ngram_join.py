@@ -5,7 +5,7 @@ Jaccard >= t shares a token among the first n - ceil(t * n) + 1 tokens of both s
 
 1. One pass makes a signature of every set: its prefix under the first order (rare tokens first, by a fixed-size count
    sketch over all documents), its prefixes under two independent orders (16 or 32 bits a token: tokens that are equal
-   stay equal), and a small odd sketch.
+   stay equal), and a small odd sketch; large sets, which would crowd it, have one more by their size.
 2. The first order is the index. Tokens that two or three sets share give their pairs by one aggregation. Sets that share
    a more frequent token are paired with three of them, the anchors.
 3. Pairs whose prefixes do not meet under the second and the third order go, before any text moves. The others are
@@ -64,9 +64,25 @@ def digest(s: np.ndarray) -> tuple[int, int]:
     return a - (a >> 63 << 64), b - (b >> 63 << 64)
 
 
-def odd_sketch(s: np.ndarray) -> bytes:
+def odd_sketch(s: np.ndarray, bits: int = ODD_BITS) -> bytes:
     """Bit i is the parity of the members that hash to i: the sketches of two sets differ in at most as many bits as the sets."""
-    return np.packbits(np.bincount((mix(s ^ U64(SPREAD)) >> U64(64 - ODD_BITS)).astype(np.int64), minlength=1 << ODD_BITS) & 1).tobytes()
+    return np.packbits(np.bincount((mix(s ^ U64(SPREAD)) >> U64(64 - bits)).astype(np.int64), minlength=1 << bits) & 1).tobytes()
+
+
+def large_sketch(s: np.ndarray) -> bytes | None:
+    """For a set whose members crowd the small sketch, one of as many bits as members (up to twice as many); else none."""
+    bits = (len(s) - 1).bit_length()
+    return odd_sketch(s, bits) if bits > ODD_BITS else None
+
+
+def differing(x: bytes, y: bytes) -> int:
+    """Bits in which two odd sketches differ; the finer one is folded to the length of the other."""
+    a, b = (np.unpackbits(np.frombuffer(v, np.uint8)) for v in (x, y))
+    while len(a) > len(b):
+        a = a[::2] ^ a[1::2]
+    while len(b) > len(a):
+        b = b[::2] ^ b[1::2]
+    return int(np.count_nonzero(a != b))
 
 
 def rank_levels(docs: DataFrame, size: int, bits: int = SKETCH_BITS) -> np.ndarray:
@@ -95,8 +111,8 @@ def other_prefix(s: np.ndarray, order: int, t: Fraction) -> bytes:
 
 
 def signatures(docs: DataFrame, size: int, t: Fraction, levels) -> DataFrame:
-    """doc_id, text_hash, n_shingles, d1, d2 (digest of the set; null where it is empty) of every document and, once for each set of a task: first, second, third (prefixes) and small (odd sketch)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("first", pa.list_(pa.int64())), ("second", pa.binary()), ("third", pa.binary()), ("small", pa.binary())])
+    """doc_id, text_hash, n_shingles, d1, d2 (digest of the set; null where it is empty) of every document and, once for each set of a task: first, second, third (prefixes), small and large (odd sketches)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("first", pa.list_(pa.int64())), ("second", pa.binary()), ("third", pa.binary()), ("small", pa.binary()), ("large", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # 8 bytes a set; forgetting only sends a copy again
@@ -110,14 +126,14 @@ def signatures(docs: DataFrame, size: int, t: Fraction, levels) -> DataFrame:
                 new = len(s) > 0 and d[0] not in seen
                 ds.append(d)
                 sizes.append(len(s))
-                more.append((first_prefix(s, t, levels.value).view(np.int64), *(other_prefix(s, o, t) for o in ORDERS), odd_sketch(s)) if new else (None,) * 4)
+                more.append((first_prefix(s, t, levels.value).view(np.int64), *(other_prefix(s, o, t) for o in ORDERS), odd_sketch(s), large_sketch(s)) if new else (None,) * 5)
                 if new:
                     seen.add(d[0])
             columns = [b.column(0), b.column(2), pa.array(sizes, pa.int64()), *(pa.array([d[i] for d in ds], pa.int64()) for i in (0, 1))]
-            columns += [pa.array([m[i] for m in more], schema.field(5 + i).type) for i in range(4)]
+            columns += [pa.array([m[i] for m in more], schema.field(5 + i).type) for i in range(5)]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return docs.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, d1 long, d2 long, first array<long>, second binary, third binary, small binary")
+    return docs.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, d1 long, d2 long, first array<long>, second binary, third binary, small binary, large binary")
 
 
 def shared_tokens(posts: DataFrame) -> DataFrame:
@@ -159,7 +175,7 @@ def meet(x: bytes, n: int, y: bytes, m: int, t: Fraction) -> bool:
 def distinct_signatures(sets: DataFrame) -> DataFrame:
     """d1, n, small, second, third, sure: one row for each set. sure: no other set has the same first half of its digest."""
     own = sets.where("small is not null")
-    return own.groupBy("d1").agg(F.first(F.struct(F.col("n_shingles").alias("n"), "small", "second", "third")).alias("s"), (F.min("d2") == F.max("d2")).alias("sure")).select("d1", "s.*", "sure")
+    return own.groupBy("d1").agg(F.first(F.struct(F.col("n_shingles").alias("n"), "small", "large", "second", "third")).alias("s"), (F.min("d2") == F.max("d2")).alias("sure")).select("d1", "s.*", "sure")
 
 
 def both_sides(pairs: DataFrame, have: DataFrame, columns: list[str]) -> DataFrame:
@@ -186,6 +202,13 @@ def meeting(pairs: DataFrame, have: DataFrame, t: Fraction) -> DataFrame:
                 overlap = (n + m - np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)) // 2
                 yield from kept(b, (overlap * (high + low) >= low * (n + m)) & (high * np.minimum(n, m) >= low * np.maximum(n, m)), (4, 7))
 
+    def closer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                n, x, m, y = (b.column(i).to_pylist() for i in (2, 3, 5, 6))
+                overlap = [(n[i] + m[i] - (differing(x[i], y[i]) if x[i] and y[i] else 0)) // 2 for i in range(b.num_rows)]
+                yield from kept(b, np.array([o * (high + low) >= low * (i + j) for o, i, j in zip(overlap, n, m, strict=True)]), (4, 7))
+
     def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
@@ -193,10 +216,15 @@ def meeting(pairs: DataFrame, have: DataFrame, t: Fraction) -> DataFrame:
                 p = [b.column(i).to_pylist() for i in (3, 4, 7, 8)]
                 yield from kept(b, np.array([all(meet(p[k][i], n[i], p[2 + k][i], m[i], t) for k in (0, 1)) for i in range(b.num_rows)]), (5, 9))
 
+    def left_in(pairs: DataFrame) -> DataFrame:
+        """The signatures of the pairs' sets, where pairs are few: only these travel then."""
+        if pairs.count() > BROADCAST_TOKENS:
+            return have
+        return have.join(F.broadcast(pairs.select(F.explode(F.array("a", "b")).alias("d1")).distinct()), "d1", "left_semi")
+
     narrow = cut(both_sides(pairs, have, ["n", "small", "sure"]).mapInArrow(alike, "a long, b long"), "alike")
-    if narrow.count() <= BROADCAST_TOKENS:  # few pairs: only the signatures of their sets travel
-        have = have.join(F.broadcast(narrow.select(F.explode(F.array("a", "b")).alias("d1")).distinct()), "d1", "left_semi")
-    return both_sides(narrow, have, ["n", "second", "third", "sure"]).mapInArrow(ordered, "a long, b long")
+    narrow = cut(both_sides(narrow, left_in(narrow), ["n", "large", "sure"]).mapInArrow(closer, "a long, b long"), "closer")
+    return both_sides(narrow, left_in(narrow), ["n", "second", "third", "sure"]).mapInArrow(ordered, "a long, b long")
 
 
 def across(posts: DataFrame, labels: DataFrame, have: DataFrame, t: Fraction, run_pairs: int = RUN_PAIRS) -> DataFrame:
