@@ -707,7 +707,7 @@ UNION ALL SELECT (doc_id % 50)::VARCHAR, 'shout:key:' || doc_id, 2 * (attempt -
 def task_events(spark, d):
     e = tasks.run_tasks(*_calls(spark, d), tasks.Task("shout", _shout, retries=2), wait=False)
     again = F.when(F.col("type") == "TaskAttemptFailed", F.col("next_delay").isNotNull())
-    return e.select("run_id", "identity", "step", "type", "attempt", F.col("output_ref").alias("output"), F.when(F.col("error").isNotNull(), F.concat_ws(": ", "error.type", "error.message")).alias("error"), again.alias("again"), F.get("usage", F.lit(0))["input_tokens"].alias("billed"))
+    return e.select("run_id", "identity", F.col("step").cast("bigint").alias("step"), "type", F.col("attempt").cast("bigint").alias("attempt"), F.col("output_ref").alias("output"), F.when(F.col("error").isNotNull(), F.concat_ws(": ", "error.type", "error.message")).alias("error"), again.alias("again"), F.get("usage", F.lit(0))["input_tokens"].alias("billed"))
 
 
 @query(J + " SELECT run_id, identity, count(*) AS n_attempts, count(*) FILTER (WHERE type = 'TaskAttemptFailed' AND next_delay IS NOT NULL) AS will_retry, count(*) FILTER (WHERE type = 'TaskAttemptFailed' AND next_delay IS NULL) AS exhausted, bool_or(usage_in IS NOT NULL) AS has_usage, bool_or(type = 'TaskAttemptFailed' AND usage_in IS NOT NULL) AS billed_failed FROM j WHERE type IN ('TaskAttemptFailed', 'TaskCompleted') GROUP BY run_id, identity")
