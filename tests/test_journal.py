@@ -2,6 +2,7 @@
 
 import dataclasses
 import datetime as dt
+import pickle
 
 import pytest
 from hypothesis import given
@@ -38,6 +39,15 @@ def test_tags():
         values.encode({"a": {"b": [b"x"]}})
     with pytest.raises(ValueError):
         values.decode({values.TAG: "other"})
+    with pytest.raises(ValueError, match="without an object of fields"):
+        values.decode({values.TAG: "dataclass", "type": "Row", "fields": values.MASK})
+
+
+def test_decoded_objects_encode_as_they_came():
+    text = values.to_text({"rows": [Row("a", dt.datetime(2024, 1, 2, tzinfo=dt.UTC))]})
+    once = values.from_text(text)
+    assert (once["rows"][0].kind, once["rows"][0].type_name) == ("dataclass", "Row")
+    assert values.to_text(once) == values.to_text(pickle.loads(pickle.dumps(once))) == text
 
 
 def test_event_beats_its_timeout():

@@ -25,6 +25,17 @@ class EncodeError(TypeError):
     """A value with no encoded form; the message names its path."""
 
 
+class Fields(dict):
+    """The fields of a decoded data class or model: a plain object that knows its kind and type, so it encodes as it came."""
+
+    def __init__(self, fields: dict, kind: str, type_name: str | None) -> None:
+        super().__init__(fields)
+        self.kind, self.type_name = kind, type_name
+
+    def __reduce__(self):
+        return Fields, (dict(self), self.kind, self.type_name)
+
+
 def encode(value, path: str = "$"):
     """Plain JSON values stand for themselves; others become tagged objects."""
     if isinstance(value, enum.Enum):
@@ -41,7 +52,8 @@ def encode(value, path: str = "$"):
         for k in value:
             if not isinstance(k, str):
                 raise EncodeError(f"{path}: the key {k!r} is not a string")
-        return {k: encode(x, f"{path}.{k}") for k, x in value.items()}
+        fields = {k: encode(x, f"{path}.{k}") for k, x in value.items()}
+        return {TAG: value.kind, "type": value.type_name, "fields": fields} if isinstance(value, Fields) else fields
     if dataclasses.is_dataclass(value) and not isinstance(value, type):
         fields = {f.name: encode(getattr(value, f.name), f"{path}.{f.name}") for f in dataclasses.fields(value)}
         return {TAG: "dataclass", "type": type(value).__qualname__, "fields": fields}
@@ -51,7 +63,7 @@ def encode(value, path: str = "$"):
 
 
 def decode(data):
-    """The value again; data classes and models come back as plain objects of their fields."""
+    """The value again; data classes and models come back as objects of their fields that keep their type."""
     if isinstance(data, list):
         return [decode(x) for x in data]
     if not isinstance(data, dict):
@@ -65,8 +77,10 @@ def decode(data):
             return dt.timedelta(seconds=data["v"])
         case "enum":
             return decode(data["v"])
-        case "dataclass" | "model" if isinstance(data.get("fields"), dict):
-            return {k: decode(x) for k, x in data["fields"].items()}
+        case "dataclass" | "model" as kind:
+            if not isinstance(data.get("fields"), dict):
+                raise ValueError(f"a {kind} without an object of fields: damaged, or masked as a whole")
+            return Fields({k: decode(x) for k, x in data["fields"].items()}, kind, data.get("type"))
         case other:
             raise ValueError(f"no value of tag {other!r} can be read")
 
