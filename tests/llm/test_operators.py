@@ -168,7 +168,7 @@ def test_quality(docs, no_docs):
     assert quality.quality(no_docs).count() == 0
 
 
-def test_warc(spark):
+def test_warc(spark, tmp_path):
     rows = [(1, "http://a b\n", "x" * 200), (2, None, "x" * 200), (3, "u", "x" * 99), (4, "u", "x" * 99), (5, "u", None), (None, "u", "x" * 200), (1, "u", "x" * 200), (6, "é", "\r\n\r\n" * 60)]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
     out = Counter((r.page_id, r.payload_bytes, r.payload_digest == hashlib.sha256((h or "").encode()).hexdigest(), r.record_type, r.refers_to) for r in warc.warc_round_trip(pages).collect() for h in [next(h for i, _, h in rows if i == r.page_id)])
@@ -179,6 +179,9 @@ def test_warc(spark):
         with pytest.raises(warc.WarcError):
             list(warc.records(io.BytesIO(bad)))
     assert warc.warc_round_trip(pages.limit(0)).count() == 0
+    archives = warc.write_warc(pages, str(tmp_path))
+    with pytest.raises(Exception, match="were announced"):
+        warc.read_warc(archives.withColumn("n_records", F.col("n_records") + 1)).collect()
 
 
 def test_language_model(docs, no_docs):

@@ -8,7 +8,8 @@ as revisit records without a payload that name it. Equal payloads are found by t
 payloads themselves are never gathered by content.
 
 Defined cases: a null payload is empty (a response, for it is short); a null id never is what others refer to (a group
-of null ids only are all responses); rows that repeat the smallest id of a group are all responses; an empty table gives no archive and no rows.
+of null ids only are all responses); rows that repeat the smallest id of a group are all responses; an archive with other
+than the announced number of records is an error; an empty table gives no archive and no rows.
 """
 
 from __future__ import annotations
@@ -160,10 +161,11 @@ def read_warc(archives: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for uri in b.column(0).to_pylist():
+            for uri, announced in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 rows: list[tuple] = []
+                n = 0
                 with reading(uri) as f:
-                    for h, block in records(f):
+                    for n, (h, block) in enumerate(records(f), 1):
                         kind, digest = h["warc-type"], h["warc-payload-digest"].removeprefix("sha256:")
                         if kind == "response" and hashlib.sha256(block).hexdigest() != digest:
                             raise WarcError("a payload does not match its digest")
@@ -171,11 +173,13 @@ def read_warc(archives: DataFrame) -> DataFrame:
                         if len(rows) >= 10_000:
                             yield pa.RecordBatch.from_arrays([pa.array(x, f2.type) for x, f2 in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
                             rows = []
+                if n != announced:
+                    raise WarcError(f"{uri} has {n} records, where {announced} were announced")
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, f2.type) for x, f2 in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     tasks = max(1, archives.count())
-    return archives.select("uri").repartition(tasks).mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return archives.select("uri", "n_records").repartition(tasks).mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def warc_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 100, folder: str | None = None) -> DataFrame:
