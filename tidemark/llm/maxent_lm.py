@@ -38,8 +38,9 @@ GROUPS = 16
 CLASSES = GROUPS * GROUPS
 OWN = CLASSES // 2  # classes of single words, the end token the first of them
 SKIPS, PAIRS = 3, 2048
-#: Rows of weights: of a class at each skip, of the hashed n-gram, of the constant. With the groups they fit 16 bits.
+#: Rows of weights: of a class at each skip, of the hashed n-gram, of the constant. Lines of weights fit 16 bits.
 ROWS = SKIPS * CLASSES + PAIRS + 1
+LINES = ROWS * (1 + GROUPS)
 ADDED = 0.1
 ROUNDS, RATE, BATCH = 4, 0.3, 2048
 CHUNK_BYTES = 12 << 20
@@ -65,10 +66,13 @@ def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Model:
-    """Weights [feature row, group | group and class], and the words that are classes of their own."""
+    """Weights, and the words that are classes of their own.
+
+    Lines of weights, each over 16 outcomes: of a feature row for the groups, then of a feature row and a group for its classes.
+    """
 
     def __init__(self, own: np.ndarray, weights: np.ndarray) -> None:
-        self.own, self.weights = own, weights
+        self.own, self.weights = own, weights.reshape(LINES, GROUPS)
         self.order = np.argsort(own)
 
     def classes(self, h: np.ndarray, suffix: np.ndarray) -> np.ndarray:
@@ -86,8 +90,7 @@ class Model:
         return np.stack((*before, pair, np.full(len(h), ROWS - 1)), axis=1)
 
     def logits(self, f: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        top = self.weights[:, :GROUPS]
-        below = self.weights[:, GROUPS:].reshape(ROWS * GROUPS, GROUPS)
+        top, below = self.weights[:ROWS], self.weights[ROWS:]
         one, two = np.zeros((len(f), GROUPS), np.float32), np.zeros((len(f), GROUPS), np.float32)
         for k in range(f.shape[1]):
             one += top.take(f[:, k], axis=0)
@@ -111,30 +114,22 @@ class Model:
     def step(self, f: np.ndarray, c: np.ndarray, squares: np.ndarray, rate: float) -> None:
         """One AdaGrad step over a sparse batch."""
         g, k = np.divmod(c, GROUPS)
-        line = np.arange(len(g))
-        grads = []
-        for x, y in zip(self.logits(f, g), (g, k), strict=True):
-            x = np.exp(x - x.max(axis=1, keepdims=True))
-            x /= x.sum(axis=1, keepdims=True)
-            x[line, y] -= 1
-            grads.append(x)
-        for rows, grad, at, width in ((f, grads[0], slice(0, GROUPS), 1), (f * GROUPS + g[:, None], grads[1], slice(GROUPS, None), GROUPS)):
-            # rows of weights in order, each beside its tokens' gradients; all but those of the constant fit 16 bits
-            flat = rows[:, :-1].ravel(order="F").astype(np.uint16)
-            order = np.argsort(flat, kind="stable")
-            flat = flat[order].astype(np.int64)
-            starts = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
-            lines = np.argsort(rows[:, -1].astype(np.uint16), kind="stable")
-            last = rows[lines, -1]
-            ends = np.flatnonzero(np.append(True, last[1:] != last[:-1]))
-            used = np.concatenate((flat[starts], last[ends]))
-            wide = grad.astype(np.float64)
-            total = np.concatenate((np.add.reduceat(wide.take(order % len(c), axis=0), starts, axis=0), np.add.reduceat(wide.take(lines, axis=0), ends, axis=0))) / len(c)
-            r, b = np.divmod(used, width)
-            w, q = (m[:, at].reshape(ROWS, width, GROUPS) for m in (self.weights, squares))
-            s = q[r, b] + total * total
-            q[r, b] = s
-            w[r, b] -= rate * total / np.sqrt(s + 1e-8)
+        grad = np.concatenate(self.logits(f, g))
+        grad -= grad.max(axis=1, keepdims=True)
+        np.exp(grad, out=grad)
+        grad /= grad.sum(axis=1, keepdims=True)
+        grad[np.arange(len(grad)), np.concatenate((g, k))] -= 1
+        # rows of weights in order, each beside its tokens' gradients
+        flat = np.concatenate((f, ROWS + f * GROUPS + g[:, None])).ravel(order="F").astype(np.uint16)
+        order = np.argsort(flat, kind="stable")
+        flat = flat[order]
+        starts = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
+        used = flat[starts].astype(np.int64)
+        total = np.add.reduceat(grad.astype(np.float64).take(order % len(grad), axis=0), starts, axis=0)
+        total = (total / len(c)).astype(np.float32)
+        s = squares.take(used, axis=0) + total * total
+        squares[used] = s
+        self.weights[used] -= rate * total / np.sqrt(s + 1e-8)
 
 
 def places(bounds: np.ndarray, n: int) -> np.ndarray:
@@ -272,10 +267,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", round
         mass[r["suffix"]], kinds[r["suffix"]] = r["n"], r["v"]
     ends = known.where(F.col("h") == int(end)).agg(F.sum("c")).first()[0] or 0
     mass[: 1 + len(found)] = [ends, *(r["c"] for r in found)]
-    start = np.zeros((ROWS, GROUPS + CLASSES), np.float32)
+    start = np.zeros((LINES, GROUPS), np.float32)
     shares = (mass + ADDED).reshape(GROUPS, GROUPS)  # training starts from the shares of groups and classes
-    start[-1, :GROUPS] = np.log(shares.sum(axis=1) / shares.sum())
-    start[-1, GROUPS:] = np.log(shares / shares.sum(axis=1, keepdims=True)).ravel()
+    start[ROWS - 1] = np.log(shares.sum(axis=1) / shares.sum())
+    start[-GROUPS:] = np.log(shares / shares.sum(axis=1, keepdims=True))
     weights = trained(dealt.where("not held_out").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(rounds))), own, start, rounds, rate)
     shared = spark.sparkContext.broadcast((own, weights, mass, kinds))
     out = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
