@@ -155,6 +155,19 @@ def test_url_filter(spark):
     assert url_filter.url_filter(pages, rules=()).where("verdict <> 'allow'").count() == 0
 
 
+def test_url_filter_follows_the_contracts_list(spark):
+    want = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
+    assert {host + path: verdict for verdict, host, path in url_filter.RULES} == want
+    pages = spark.createDataFrame([(i, f"http://{place}{rule}x") for i, rule in enumerate(want) for place in ("", "a.")], "page_id bigint, url string")
+    few = url_filter.BROADCAST_RULES
+    for most in (few, 0):
+        url_filter.BROADCAST_RULES = most
+        try:
+            assert Counter((r.rule, r.verdict) for r in url_filter.url_filter(pages).collect()) == {x: 2 for x in want.items()}
+        finally:
+            url_filter.BROADCAST_RULES = few
+
+
 def test_quality(docs, no_docs):
     out = quality.quality(docs, carry=["text"]).collect()
     assert len(out) == docs.count()
