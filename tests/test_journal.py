@@ -9,7 +9,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 
 from tidemark.functions import values
-from tidemark.operators import fanout, lineage
+from tidemark.operators import fanout, lineage, views
 from tidemark.operators.waits import fold_waits
 from tidemark.sources.journal import ENVELOPE, next_seq, parse_lines, typed
 
@@ -132,3 +132,14 @@ def test_fork_journal_replaces_the_input(spark):
     assert [(r.type, r.ts) for r in out] == [("WorkflowCreated", at), ("TaskScheduled", at), ("RunForked", at)]
     assert (out[0].input_ref, out[0].workflow_name, out[1].task_name) == ('{"a":2}', "w", "t")
     assert (out[2].source_run_id, out[2].fork_point_seq) == ("r", 2)
+
+
+def test_forks_of_any_number_and_depth(spark):
+    chain = spark.range(1, 151).selectExpr("id as run", "id - 1 as source")
+    assert {tuple(r) for r in views.lineage_chain(chain).collect()} == {(i, k, i - k) for i in range(151) for k in range(i)}
+    wide = spark.range(2, 1_000_003).selectExpr("id as run", "1L as source").union(spark.createDataFrame([(1, 0)], "run long, source long"))
+    found = views.lineage_chain(wide).groupBy("ancestor", "depth").count().collect()
+    assert sorted(tuple(r) for r in found) == [(0, 1, 1), (0, 2, 1_000_001), (1, 1, 1_000_001)]
+    with pytest.raises(ValueError, match="behind itself"):
+        views.lineage_chain(spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "run long, source long"))
+    assert views.lineage_chain(chain.limit(0)).count() == 0

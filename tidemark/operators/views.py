@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.display import event_kind, summary
 from tidemark.functions.values import MASK, redact_json, sensitive
+from tidemark.session import cut
 
 from .fold import of, run_status, seconds, task_scan, task_status
 
@@ -62,14 +65,36 @@ def schedule_divergence(recorded: DataFrame, issued: DataFrame) -> DataFrame:
     return both.join(first, ["run_id", "position"], "left").withColumn("first", F.coalesce("first", F.lit(False)))
 
 
+def _paths(links: DataFrame) -> DataFrame:
+    """start, end, depth of every path over links (start, end): each round doubles the reach, its paths go to the shared folder.
+
+    A path longer than the reach is one of just that depth and one that begins where it ends, so each is made once. Only
+    paths that begin at such an end are joined. A cycle has no last path and is an error.
+    """
+    made: list[DataFrame] = []
+    new = links.select("start", "end", F.lit(1).alias("depth"))
+    while True:
+        new = cut(new, "paths")
+        seen = new.agg(F.count("*").alias("n"), F.max(F.when(F.col("start") == F.col("end"), F.col("start"))).alias("cycle")).first()
+        if seen["cycle"] is not None:
+            raise ValueError(f"{seen['cycle']} is behind itself")
+        made.append(new)
+        if not seen["n"]:
+            return reduce(DataFrame.union, made)
+        reach = 1 << (len(made) - 1)
+        longest = new.where(F.col("depth") == reach).select(F.col("start").alias("first"), F.col("end").alias("via"), F.col("depth").alias("before"))
+        onward = reduce(DataFrame.union, made).join(longest.select(F.col("via").alias("start")).distinct(), "start", "left_semi")
+        new = longest.join(onward, F.col("via") == F.col("start")).select(F.col("first").alias("start"), "end", (F.col("before") + F.col("depth")).alias("depth"))
+
+
 def descendants(edges: DataFrame) -> DataFrame:
     """root, node, depth over parent -> child edges: transitive closure by a recursive query."""
     return edges.sparkSession.sql("WITH RECURSIVE t(root, node, depth) AS (SELECT parent, child, 1 FROM {edges} UNION ALL SELECT t.root, e.child, t.depth + 1 FROM t JOIN {edges} e ON e.parent = t.node) SELECT root, node, depth FROM t", edges=edges)
 
 
 def lineage_chain(forks: DataFrame) -> DataFrame:
-    """run, ancestor, depth over run -> source links: the chain of forks behind each run."""
-    return forks.sparkSession.sql("WITH RECURSIVE t(run, ancestor, depth) AS (SELECT run, source, 1 FROM {forks} UNION ALL SELECT t.run, f.source, t.depth + 1 FROM t JOIN {forks} f ON f.run = t.ancestor) SELECT run, ancestor, depth FROM t", forks=forks)
+    """run, ancestor, depth over run -> source links: the chain of forks behind each run, of any length."""
+    return _paths(forks.select(F.col("run").alias("start"), F.col("source").alias("end"))).toDF("run", "ancestor", "depth")
 
 
 def child_links(scheduled: DataFrame, runs: DataFrame) -> DataFrame:
