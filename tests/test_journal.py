@@ -143,3 +143,11 @@ def test_forks_of_any_number_and_depth(spark):
     with pytest.raises(ValueError, match="behind itself"):
         views.lineage_chain(spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "run long, source long"))
     assert views.lineage_chain(chain.limit(0)).count() == 0
+
+
+def test_descendants_of_any_number_and_depth(spark):
+    chain = spark.range(150).selectExpr("id as parent", "id + 1 as child")
+    assert {tuple(r) for r in views.descendants(chain).collect()} == {(i, k, k - i) for k in range(151) for i in range(k)}
+    # two ways to a node are two rows, as a recursive UNION ALL has them
+    found = views.descendants(spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("d", "e"), (None, "a")], "parent string, child string")).where("node = 'e'").collect()
+    assert sorted(map(repr, (tuple(r) for r in found))) == sorted(map(repr, [("a", "e", 3), ("a", "e", 3), ("b", "e", 2), ("c", "e", 2), ("d", "e", 1), (None, "e", 4), (None, "e", 4)]))

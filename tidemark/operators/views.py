@@ -88,8 +88,8 @@ def _paths(links: DataFrame) -> DataFrame:
 
 
 def descendants(edges: DataFrame) -> DataFrame:
-    """root, node, depth over parent -> child edges: transitive closure by a recursive query."""
-    return edges.sparkSession.sql("WITH RECURSIVE t(root, node, depth) AS (SELECT parent, child, 1 FROM {edges} UNION ALL SELECT t.root, e.child, t.depth + 1 FROM t JOIN {edges} e ON e.parent = t.node) SELECT root, node, depth FROM t", edges=edges)
+    """root, node, depth over parent -> child edges: transitive closure of a graph without cycles, of any depth."""
+    return _paths(edges.select(F.col("parent").alias("start"), F.col("child").alias("end"))).toDF("root", "node", "depth")
 
 
 def lineage_chain(forks: DataFrame) -> DataFrame:
