@@ -65,3 +65,12 @@ def test_cancels_read_the_whole_journal(spark):
 def test_version_of_every_run(spark, sf_dir):
     runs = {r.run_id for r in spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("cast(user_id as string) as run_id").distinct().collect()}
     assert "7" in runs and {r.run_id for r in QUERIES["version_mismatch_all"](spark, sf_dir).collect()} == runs
+
+
+def test_call_tree_is_not_bound_by_the_row_limit_of_recursive_queries(spark, sf_dir):
+    want = sorted(QUERIES["call_tree"](spark, sf_dir).collect())
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "100")
+    try:
+        assert sorted(QUERIES["call_tree"](spark, sf_dir).collect()) == want and sum(r.n_nodes for r in want) > 100
+    finally:
+        spark.conf.unset("spark.sql.cteRecursionRowLimit")
