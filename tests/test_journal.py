@@ -7,6 +7,7 @@ import pickle
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tidemark.functions import values
 from tidemark.operators import fanout, lineage, views
@@ -151,3 +152,18 @@ def test_descendants_of_any_number_and_depth(spark):
     # two ways to a node are two rows, as a recursive UNION ALL has them
     found = views.descendants(spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("d", "e"), (None, "a")], "parent string, child string")).where("node = 'e'").collect()
     assert sorted(map(repr, (tuple(r) for r in found))) == sorted(map(repr, [("a", "e", 3), ("a", "e", 3), ("b", "e", 2), ("c", "e", 2), ("d", "e", 1), (None, "e", 4), (None, "e", 4)]))
+
+
+def test_rows_without_a_reference_are_not_dealt_to_one_task(spark):
+    texts = spark.range(2000, numPartitions=4).selectExpr("id", "if(id % 500 = 7, repeat('x', 50 + cast(id / 1000 as int)), concat('t', id)) as text", "map('a', id) as m")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        small, blobs = values.spill(texts.withColumn("text", F.when(F.col("id") != 9, F.col("text"))), "text", 40)
+        found = values.rehydrate_blobs(small, "text", blobs)
+        assert found.columns == small.columns
+        assert {r.id: r.text for r in found.collect()} == {r.id: r.text if r.id != 9 else None for r in texts.collect()}
+        assert found.where("length(text) < 40").select(F.spark_partition_id()).distinct().count() == 4
+        with pytest.raises(Exception, match="no blob"):
+            values.rehydrate_blobs(small, "text", blobs.limit(0)).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

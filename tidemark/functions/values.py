@@ -191,11 +191,13 @@ def put_blobs(blobs: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def rehydrate_blobs(df: DataFrame, column: str, blobs: DataFrame) -> DataFrame:
-    """References replaced by their values; one that the store does not hold is an error."""
-    named = df.withColumn("_blob", F.when(is_blob_ref(F.col(column)), F.get_json_object(column, "$.id")))
-    found = named.join(blobs.select(F.col("blob_id").alias("_blob"), F.col("data").alias("_data")), "_blob", "left")
+    """References replaced by their values; one that the store does not hold is an error. Other rows stay where they are."""
+    # made by a generator, below which no filter goes: the filters would work the references out once more each
+    named = df.withColumn("_blob", F.explode(F.array(F.when(is_blob_ref(F.col(column)), F.get_json_object(column, "$.id")))))
+    plain = named.where(F.col("_blob").isNull()).select(df.columns)
+    found = named.where(F.col("_blob").isNotNull()).join(blobs.select(F.col("blob_id").alias("_blob"), F.col("data").alias("_data")), "_blob", "left")
     missing = F.raise_error(F.concat(F.lit("no blob "), F.col("_blob")))
-    return found.withColumn(column, F.when(F.col("_blob").isNull(), F.col(column)).when(F.col("_data").isNotNull(), F.col("_data")).otherwise(missing)).drop("_blob", "_data")
+    return plain.union(found.withColumn(column, F.when(F.col("_data").isNotNull(), F.col("_data")).otherwise(missing)).select(df.columns))
 
 
 def rehydrate(text: Column, schema: T.DataType) -> Column:
