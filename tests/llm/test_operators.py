@@ -443,3 +443,18 @@ def test_sketches_bound_the_difference_of_sets():
         if shared < 100:
             assert apart > (n + m) // 9
     assert ngram_join.large_sketch(both[:512]) is None
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_pieces_with_a_point_are_learned_together(name):
+    coder = tokens.encoder(name)
+    texts = ["Wonder. wonder, WONDER! wonder", "\u00e9t\u00e9. \u00c9T\u00c9: \u0250bc? \u65e5\u672c. I'm. A1. 1.", "x.. y., .z a. ", ". wonder?", "", "q"]
+    coder.forget()
+    added = []
+    add, coder._add = coder._add, lambda part, *rest: (added.append(len(part)), add(part, *rest))
+    try:
+        for t, ids in zip(texts, coder.encode(texts), strict=True):
+            assert ids.tolist() == coder.tokenizer.encode(t, add_special_tokens=False).ids
+    finally:
+        del coder._add
+    assert sum(added) == len(coder.starts)  # none is added one by one

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import repeat
 
 import numpy as np
@@ -83,7 +83,7 @@ class Encoder:
         """(stem, point): a letter and a last point never share a token, and a vocabulary without case folds it."""
         point = p[-1] if p and p[-1] in POINTS and p[-2:-1].isalpha() and p[0] != " " else ""
         stem = p[:-1] if point else p
-        if self.folds and not FAR.search(stem):
+        if self.folds and (stem.isascii() or not FAR.search(stem)):
             stem = stem.lower()
         return stem, point
 
@@ -94,24 +94,33 @@ class Encoder:
         stems = [p for p in missing if p not in derived]
         stems += [s for s, _ in derived.values() if s not in known]
         self._learn_stems(list(dict.fromkeys(stems)))
-        points = {c: np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, np.uint32).tobytes() for c in {c for _, c in derived.values() if c}}
-        starts, sizes, flat = self.starts, self.sizes, self.flat
-        for p, (s, c) in derived.items():
-            k = known[s]
-            if c:
-                a, n = starts[k], sizes[k]
-                known[p] = len(starts)
-                starts.append(len(flat))
-                flat.extend(flat[a : a + n])
-                flat.frombytes(points[c])
-                sizes.append(len(flat) - starts[-1])
-            else:
-                known[p] = k
+        known.update([(p, known[s]) for p, (s, c) in derived.items() if not c])
+        pointed = [(p, s, c) for p, (s, c) in derived.items() if c]
+        if pointed:
+            self._add_pointed(*zip(*pointed, strict=True))
+
+    def _add_pointed(self, names: tuple[str, ...], stems: tuple[str, ...], marks: tuple[str, ...]) -> None:
+        """Names are known stems with a point behind them: the stem's ids, then the point's."""
+        code = np.fromiter(map(self.known.__getitem__, stems), np.int64, len(stems))
+        starts, sizes, flat = np.array(self.starts)[code], np.array(self.sizes)[code], np.array(self.flat)
+        point = {c: self.tokenizer.encode(c, add_special_tokens=False).ids for c in set(marks)}
+        every = sizes + np.fromiter((len(point[c]) for c in marks), np.int64, len(marks))
+        at = np.cumsum(every) - every
+        before = np.cumsum(sizes) - sizes
+        step = np.arange(sizes.sum())
+        ids = np.empty(every.sum(), np.int64)
+        ids[step + np.repeat(at - before, sizes)] = flat[step + np.repeat(starts - before, sizes)]
+        marked = np.array(marks)
+        for c, own in point.items():
+            last = (at + sizes)[marked == c]
+            for k, i in enumerate(own):
+                ids[last + k] = i
+        self._add(names, ids, at, every)
 
     def _learn_stems(self, missing: list[str]) -> None:
         """Encode: plain words many in one call, told apart by their tokens; the others one by one."""
-        plain = [p for p in missing if p.isalpha() and not FAR.search(p)]
-        rest = [p for p in missing if not p.isalpha() or FAR.search(p)]
+        plain = [p for p in missing if p.isalpha() and (p.isascii() or not FAR.search(p))]
+        rest = [p for p in missing if not (p.isalpha() and (p.isascii() or not FAR.search(p)))]
         for i in range(0, len(plain), 2048 * 16):
             lots = [plain[j : j + 2048] for j in range(i, min(i + 2048 * 16, len(plain)), 2048)]
             for part, found in zip(lots, self.words.encode_batch_fast([" " + " ".join(x) for x in lots], add_special_tokens=False), strict=True):
@@ -133,11 +142,11 @@ class Encoder:
             sizes = np.fromiter(map(len, found), np.int64, len(found))
             self._add(part, np.fromiter((x for y in found for x in y), np.int64, int(sizes.sum())), np.cumsum(sizes) - sizes, sizes)
 
-    def _add(self, part: list[str], ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
+    def _add(self, part: Sequence[str], ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
         n = len(self.starts)
         self.known.update(zip(part, range(n, n + len(part)), strict=True))
-        self.starts.extend((starts + len(self.flat)).tolist())
-        self.sizes.extend(sizes.tolist())
+        self.starts.frombytes((starts + len(self.flat)).astype(np.int64).tobytes())
+        self.sizes.frombytes(sizes.astype(np.int64).tobytes())
         self.flat.frombytes(ids.astype(np.uint32).tobytes())
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:

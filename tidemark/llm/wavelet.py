@@ -51,11 +51,13 @@ class WaveletMatrix:
         now = values.astype(np.uint16 if width <= 16 else np.uint32)
         planes, zeros = [], []
         for level in range(width - 1, -1, -1):
-            ones = (now >> now.dtype.type(level)) & now.dtype.type(1) == 1
+            ones = (now & now.dtype.type(1 << level)).astype(bool)
             planes.append(np.packbits(ones))
-            low = now[~ones]
-            zeros.append(len(low))
-            now = np.concatenate((low, now[ones]))
+            zeros.append(len(now) - int(np.count_nonzero(ones)))
+            after = np.empty_like(now)
+            np.compress(ones, now, out=after[zeros[-1] :])
+            np.compress(np.logical_not(ones, out=ones), now, out=after[: zeros[-1]])
+            now = after
         return cls(planes, zeros, len(values))
 
     def values(self) -> np.ndarray:
