@@ -458,3 +458,31 @@ def test_pieces_with_a_point_are_learned_together(name):
     finally:
         del coder._add
     assert sum(added) == len(coder.starts)  # none is added one by one
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder_learns_words_without_the_library_and_keeps_those_met_again(name, monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBERED", 400)
+    e = tokens.Encoder(tokens.encoder(name).path, "byte_bpe" in name)
+    plain = e.tokenizer
+    calls: list[str] = []
+
+    class Counted:
+        encode = staticmethod(plain.encode)
+
+        @staticmethod
+        def encode_batch_fast(lot, **options):
+            calls.extend(lot)
+            return plain.encode_batch_fast(lot, **options)
+
+    e.tokenizer = Counted
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("abcdefghijéñABCXYZ"), n)) for n in rng.integers(1, 45, 900)]
+    for k in range(9):
+        own = words[100 * k : 100 * k + 100]
+        texts = [" ".join(own), "Often seen, " + "&&& ".join(own), ".\n".join(own[:2]) + "!! the", " ".join(f"{a}{s}" for a, s in zip(own, [".", ",!", "'s", ".\nThe", "\n\nA", "7.", "#x"] * 9)), "", "\nA", "a.\nb\n", "A\n.\nb"]
+        assert [x.tolist() for x in e.encode(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(e.known) < 1500
+    assert "Often" in e.known or " Often" in e.known
+    longest = [x for x in calls if x.strip(" ").isalpha() and len(x.encode()) < 35]
+    assert not longest

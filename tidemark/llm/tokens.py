@@ -8,6 +8,7 @@ occurs (such as an end-of-text mark) goes through the library whole.
 
 from __future__ import annotations
 
+import json
 import re
 from array import array
 from collections.abc import Iterator, Sequence
@@ -15,13 +16,13 @@ from itertools import repeat
 
 import numpy as np
 
-from .common import give_back
+from .common import give_back, on_other_work
+from .merges import LONGEST, Merges
 
-#: Pieces that a worker remembers before it starts anew.
-REMEMBERED = 1_000_000
-#: How a byte-level vocabulary writes a space, and how one of words marks their ends.
-SPACE_SIGN, WORD_END = "\u0120", "</w>"
-POINTS = frozenset(".,;:!?")
+#: Pieces that a worker remembers; then only those met again are kept, or none if these are more than half.
+REMEMBERED = 300_000
+#: Signs that end a word; an apostrophe may begin a token with letters.
+SIGNS = "!#$%&*,.:;?"
 #: Characters whose lower case may depend on more than the character, or on the library.
 FAR = re.compile("[\u0130\u0250-\U0010ffff]")
 #: White space other than space and line feed.
@@ -42,100 +43,109 @@ class Encoder:
     def __init__(self, path: str, keep_space: bool) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path, self.tokenizer = path, Tokenizer.from_file(path)
         # strings of added tokens, in any case: the library takes them out of a text before anything else
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None
         self.lead = " " if keep_space else ""
-        vocabulary = self.tokenizer.get_vocab()
-        self.edge = np.zeros(1 + max(vocabulary.values()), bool)
-        self.edge[[i for x, i in vocabulary.items() if (x[:1] == SPACE_SIGN if keep_space else x.endswith(WORD_END))]] = True
         self.folds = self.tokenizer.normalizer is not None and "Lowercase" in str(self.tokenizer.normalizer)
-        self.words = self._for_words()
+        self.merges = Merges.of(json.loads(self.tokenizer.to_str())["model"])
         self.forget()
 
-    def _for_words(self):
-        """The same model for plain words in lower case where it folds: nothing to normalise, split at spaces only."""
-        from tokenizers import Regex, Tokenizer, pre_tokenizers
-
-        same = Tokenizer.from_str(self.tokenizer.to_str())
-        if self.folds:
-            same.normalizer = None
-        split = pre_tokenizers.Split(Regex(" "), "merged_with_next" if self.lead else "removed")
-        same.pre_tokenizer = pre_tokenizers.Sequence([split, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        return same
-
     def forget(self) -> None:
         #: piece -> place in starts and sizes; the first piece of a text has a space before it as its key
         self.known: dict[str, int] = {}
         self.flat, self.starts, self.sizes = array("I"), array("q"), array("q")
+        self.again = bytearray()  # by place: met after the batch in which it was learned
+
+    def trim(self) -> None:
+        """Keep only the pieces that were met again since they were learned or last kept."""
+        again = np.frombuffer(self.again, bool)
+        known: dict[str, int] = {}
+        ids, sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        if 2 * np.count_nonzero(again) <= REMEMBERED:
+            ids, sizes = self._gather(np.flatnonzero(again))
+            place = np.where(again, np.cumsum(again) - 1, -1).tolist()
+            known = {p: place[c] for p, c in self.known.items() if place[c] >= 0}
+        self.forget()
+        self._add([], ids, np.cumsum(sizes) - sizes, sizes)
+        self.known = known
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray] = []
         give_back()
         for part in parts(texts):
             if len(self.known) > REMEMBERED:
-                self.forget()
+                self.trim()
             out += self._encode(part)
         return out
 
-    def _stem(self, p: str) -> tuple[str, str]:
-        """(stem, point): a letter and a last point never share a token, and a vocabulary without case folds it."""
-        point = p[-1] if p and p[-1] in POINTS and p[-2:-1].isalpha() and p[0] != " " else ""
-        stem = p[:-1] if point else p
+    def _atoms(self, p: str) -> list[str]:
+        """Pieces whose ids make up those of p: one line feed inside and signs behind a letter share no token with the rest.
+
+        A vocabulary without case folds what it can, and one without spaces needs no mark of a text's first word.
+        """
+        if "\n" in p:
+            x, _, y = p.partition("\n")
+            if x and y and "\n" not in y and not x[-1].isspace() and not y[0].isspace():
+                return [*self._atoms(x), " \n", *self._atoms(" " + y)]
+        stem = p.rstrip(SIGNS)
+        signs = p[len(stem) :] if stem[-1:].isalpha() else ""
+        if not signs:
+            stem = p
         if self.folds and (stem.isascii() or not FAR.search(stem)):
             stem = stem.lower()
-        return stem, point
+        if not self.lead and stem[:1] == " " and stem[1:].isalpha():
+            stem = stem[1:]
+        return [stem, " " + signs] if signs else [stem]
 
     def _learn(self, missing: list[str]) -> None:
-        """Encode new pieces: their stems first, as far as those are new too."""
+        """Encode new pieces: their atoms first, as far as those are new too."""
         known = self.known
-        derived = {p: x for p in missing if (x := self._stem(p)) != (p, "")}
-        stems = [p for p in missing if p not in derived]
-        stems += [s for s, _ in derived.values() if s not in known]
-        self._learn_stems(list(dict.fromkeys(stems)))
-        known.update([(p, known[s]) for p, (s, c) in derived.items() if not c])
-        pointed = [(p, s, c) for p, (s, c) in derived.items() if c]
-        if pointed:
-            self._add_pointed(*zip(*pointed, strict=True))
-
-    def _add_pointed(self, names: tuple[str, ...], stems: tuple[str, ...], marks: tuple[str, ...]) -> None:
-        """Names are known stems with a point behind them: the stem's ids, then the point's."""
-        code = np.fromiter(map(self.known.__getitem__, stems), np.int64, len(stems))
-        starts, sizes, flat = np.array(self.starts)[code], np.array(self.sizes)[code], np.array(self.flat)
-        point = {c: self.tokenizer.encode(c, add_special_tokens=False).ids for c in set(marks)}
-        every = sizes + np.fromiter((len(point[c]) for c in marks), np.int64, len(marks))
-        at = np.cumsum(every) - every
-        before = np.cumsum(sizes) - sizes
-        step = np.arange(sizes.sum())
-        ids = np.empty(every.sum(), np.int64)
-        ids[step + np.repeat(at - before, sizes)] = flat[step + np.repeat(starts - before, sizes)]
-        marked = np.array(marks)
-        for c, own in point.items():
-            last = (at + sizes)[marked == c]
-            for k, i in enumerate(own):
-                ids[last + k] = i
-        self._add(names, ids, at, every)
-
-    def _learn_stems(self, missing: list[str]) -> None:
-        """Encode: plain words many in one call, told apart by their tokens; the others one by one."""
-        plain = [p for p in missing if p.isalpha() and (p.isascii() or not FAR.search(p))]
-        rest = [p for p in missing if not (p.isalpha() and (p.isascii() or not FAR.search(p)))]
-        for i in range(0, len(plain), 2048 * 16):
-            lots = [plain[j : j + 2048] for j in range(i, min(i + 2048 * 16, len(plain)), 2048)]
-            for part, found in zip(lots, self.words.encode_batch_fast([" " + " ".join(x) for x in lots], add_special_tokens=False), strict=True):
-                ids = np.array(found.ids, np.int64)
-                if self.lead:  # a token that begins with a space begins a word
-                    starts = np.flatnonzero(self.edge[ids])
-                    sizes = np.diff(np.append(starts, len(ids)))
-                else:  # a token with the end-of-word mark ends one
-                    ends = np.flatnonzero(self.edge[ids]) + 1
-                    starts = np.concatenate(([0], ends[:-1]))
-                    sizes = ends - starts
-                if len(starts) == len(part):
-                    self._add(part, ids, starts, sizes)
-                else:
-                    rest += part
+        alone, folded, made = [], [], []
+        for p in missing:
+            if not p.isalpha():
+                made.append((p, self._atoms(p)))
+            elif self.folds and (p.isascii() or not FAR.search(p)) and (q := p.lower()) != p:
+                folded.append((p, q))
+            else:
+                alone.append(p)
+        alone += [q for _, q in folded if q not in known]
+        alone += [a for _, x in made for a in x if a not in known]
+        self._learn_atoms(list(dict.fromkeys(alone)))
+        known.update([(p, known[q]) for p, q in folded])
+        known.update([(p, known[x[0]]) for p, x in made if len(x) == 1])
+        joined = [y for y in made if len(y[1]) > 1]
+        if joined:
+            counts = np.fromiter((len(x) for _, x in joined), np.int64, len(joined))
+            codes = np.fromiter((known[a] for _, x in joined for a in x), np.int64, int(counts.sum()))
+            ids, n = self._gather(codes)
+            sizes = np.add.reduceat(n, np.cumsum(counts) - counts)
+            self._add([p for p, _ in joined], ids, np.cumsum(sizes) - sizes, sizes)
+
+    def _gather(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these pieces one after another, and how many each has."""
+        n = np.frombuffer(self.sizes, np.int64)[codes]
+        ends = np.cumsum(n)
+        index = np.arange(ends[-1] if len(ends) else 0) + np.repeat(np.frombuffer(self.starts, np.int64)[codes] - (ends - n), n)
+        return np.frombuffer(self.flat, np.uint32)[index], n
+
+    def _learn_atoms(self, missing: list[str]) -> None:
+        """Encode: plain words by the vocabulary's merges, many at once; the others by the library."""
+        plain: dict[bool, tuple[list[str], list[bytes]]] = {True: ([], []), False: ([], [])}
+        rest = []
+        for p in missing:
+            first = p[:1] == " "
+            word = p[1:] if first else p
+            if self.merges and word.isalpha() and (word.isascii() or not FAR.search(word)) and len(data := word.encode()) < LONGEST:
+                names, words = plain[bool(self.lead) and not first]
+                names.append(p)
+                words.append(data)
+            else:
+                rest.append(p)
+        for spaced, (names, words) in plain.items():
+            if names:
+                self._add(names, *self.merges.encode(words, spaced))
         for i in range(0, len(rest), 2048):
             part = rest[i : i + 2048]
             found = [e.ids for e in self.tokenizer.encode_batch_fast([p[1:] if p[:1] == " " else self.lead + p for p in part], add_special_tokens=False)]
@@ -148,6 +158,7 @@ class Encoder:
         self.starts.frombytes((starts + len(self.flat)).astype(np.int64).tobytes())
         self.sizes.frombytes(sizes.astype(np.int64).tobytes())
         self.flat.frombytes(ids.astype(np.uint32).tobytes())
+        self.again += bytes(len(sizes))
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         """A text that holds the string of an added token is encoded whole, all others piece by piece."""
@@ -167,15 +178,13 @@ class Encoder:
             counts.append(len(p))
         codes = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
         at = np.flatnonzero(codes < 0).tolist()
+        np.frombuffer(self.again, bool)[codes[codes >= 0]] = True
         if at:
             new = [pieces[i] for i in at]
             self._learn(list(dict.fromkeys(new)))
             codes[at] = np.fromiter(map(self.known.get, new), np.int64, len(new))
-        sizes, starts, flat = (np.array(x) for x in (self.sizes, self.starts, self.flat))
-        n = sizes[codes]
+        every, n = self._gather(codes)
         ends = np.cumsum(n)
-        index = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[codes] - (ends - n), n)
-        every = flat.astype(np.uint32, copy=False)[index]
         bounds = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))]
         return [every[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
@@ -196,6 +205,15 @@ def parts(texts: list[str], most: int = 1 << 21) -> Iterator[list[str]]:
 _made: dict[tuple[str, bool], Encoder] = {}
 
 
+def forget() -> None:
+    """A worker that turns to another operator gives back what its encoders remember."""
+    for e in _made.values():
+        e.forget()
+
+
+on_other_work.append(forget)
+
+
 def encoder(name: str) -> Encoder:
     """The worker's encoder of a public vocabulary: a name in public_tokenizers, or a path."""
     import os
