@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontaminate, maxent_lm, ngram_join, packing, quality, suffix_dedup, tokens, url_filter, warc, wavelet
+from tidemark.llm import chat, decontaminate, keys, maxent_lm, ngram_join, packing, quality, suffix_dedup, tokens, url_filter, warc, wavelet
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -486,3 +486,46 @@ def test_encoder_learns_words_without_the_library_and_keeps_those_met_again(name
     assert "Often" in e.known or " Often" in e.known
     longest = [x for x in calls if x.strip(" ").isalpha() and len(x.encode()) < 35]
     assert not longest
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_encoder_finds_known_pieces_by_their_bytes_alone(name, monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBERED", 300)
+    e = tokens.Encoder(tokens.encoder(name).path, "byte_bpe" in name)
+    plain = e.tokenizer
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(list("abcéñXYßȺƁªµ×ſ"), n)) for n in rng.integers(1, 30, 300)]
+    signs = ["", ".", "!?", "." * 8, "." * 9, ".\nZ", ",\nz;", "\n", "\n.", "\nA\nb", ". \n", "  b", " ", "\0", "\0a", "'s", "7", "\u4e2d", " \u03a3", "|"]
+    texts = ["".join(rng.choice([" ", ""], 2)).join(words[k : k + 2]) + s + tail + words[k] for k in range(0, 298, 2) for s in signs for tail in (" ", "")][::7]
+    texts += ["", " ", "\n", "a", " a", "a ", "x" * 23, "x" * 24 + " " + "x" * 25, "é" * 12 + " " + "é" * 13, "\0", "a\0 b"]
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    for _ in range(2):
+        for i in range(0, len(texts), 90):
+            assert [x.tolist() for x in e.encode(texts[i : i + 90])] == want[i : i + 90]
+    seen: list[str] = []
+    codes = e._codes
+    monkeypatch.setattr(e, "_codes", lambda pieces: seen.extend(pieces) or codes(pieces))
+    for _ in range(2):
+        seen.clear()
+        assert e.encode(["plain words, met again.\nAnd again"])[0].tolist() == plain.encode("plain words, met again.\nAnd again", add_special_tokens=False).ids
+    assert not seen
+
+
+def test_keys_that_share_a_place_or_a_hash(monkeypatch):
+    rng = np.random.default_rng(3)
+    strings = list(dict.fromkeys(bytes(rng.integers(1, 4, n).astype(np.uint8)) for n in rng.integers(1, keys.LONGEST_KEY + 1, 3000)))
+    sizes = np.array([len(s) for s in strings])
+    data = np.frombuffer(b"".join(strings) + bytes(keys.LONGEST_KEY), np.uint8)
+    k = keys.keys_of(data, np.cumsum(sizes) - sizes, sizes)
+    for way in (keys.hashed, lambda x: np.zeros(len(x), np.uint64)):
+        monkeypatch.setattr(tokens, "hashed", way)
+        first, own = tokens.distinct(np.concatenate((k[:300], k[:200])))
+        both = np.concatenate((k[:300], k[:200]))
+        assert len(first) == 300 and (both[first][own] == both).all()
+    table = keys.Keys(2)
+    table.add(k[:1500], np.arange(1500))
+    assert (table.find(k) == np.where(np.arange(len(k)) < 1500, np.arange(len(k)), -1)).all()
+    table.add(k[1500:], np.arange(1500, len(k)))
+    assert (table.find(k) == np.arange(len(k))).all()
+    held, codes = table.held()
+    assert (held == k[codes]).all() and len(held) == len(k)

@@ -85,12 +85,14 @@ class Merges:
         data = np.frombuffer(b" " + b" ".join(words), np.uint8)
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         begins = np.cumsum(lengths + 1) - lengths
-        if spaced:
-            begins, lengths = begins - 1, lengths + 1
+        return self.encode_at(data, begins - spaced, lengths + spaced)
+
+    def encode_at(self, data: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same for words that lie at these places of some bytes; each has LONGEST bytes at most, a space before it included."""
         order = np.argsort(lengths, kind="stable")
-        starts, sizes = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        starts, sizes = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
         out, total = [np.zeros(0, np.int32)], 0
-        for i in range(0, len(words), COLUMNS):
+        for i in range(0, len(lengths), COLUMNS):
             own = order[i : i + COLUMNS]
             ids, n = self._merged(data, begins[own], lengths[own])
             starts[own], sizes[own] = total + np.cumsum(n) - n, n
