@@ -529,3 +529,22 @@ def test_keys_that_share_a_place_or_a_hash(monkeypatch):
     assert (table.find(k) == np.arange(len(k))).all()
     held, codes = table.held()
     assert (held == k[codes]).all() and len(held) == len(k)
+
+
+def test_a_training_step_is_plain_adagrad_without_sorting_lines(monkeypatch):
+    rng = np.random.default_rng(4)
+    m, n = maxent_lm, 300
+    f = np.stack([rng.integers(0, 9, n), rng.integers(0, 256, n) + 256, rng.integers(0, 3, n) + 512, rng.integers(0, m.PAIRS, n) + 768, np.full(n, m.ROWS - 1)], axis=1)
+    c = rng.integers(0, m.CLASSES, n)
+    model = m.Model(np.array([m.END], np.uint64), rng.normal(size=(m.LINES, m.GROUPS)).astype(np.float32))
+    before, squares = model.weights.astype(float), np.full((m.LINES, m.GROUPS), 1e-4, np.float32)
+    grad = np.zeros_like(before)
+    for row, (g, k) in zip(f, zip(*np.divmod(c, m.GROUPS), strict=True), strict=True):
+        for lines, hit in ((row, g), (m.ROWS + row * m.GROUPS + g, k)):
+            x = np.exp(before[lines].sum(axis=0))
+            grad[lines] += (x / x.sum() - (np.arange(m.GROUPS) == hit)) / n
+    want = before - 0.3 * grad / np.sqrt(1e-4 + grad**2 + 1e-8)
+    monkeypatch.setattr(np, "argsort", None)  # sorting the lines was a third of a step
+    model.step(f, c, squares, 0.3)
+    assert np.abs(model.weights - want).max() < 1e-4 and np.abs(squares - 1e-4 - grad**2).max() < 1e-6
+    assert (model.weights != before.astype(np.float32)).any()

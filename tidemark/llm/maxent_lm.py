@@ -37,7 +37,7 @@ from .common import SPACE, U64, collect_garbage, cut, hasher, ids_and_texts, mix
 GROUPS = 16
 CLASSES = GROUPS * GROUPS
 OWN = CLASSES // 2  # classes of single words, the end token the first of them
-SKIPS, PAIRS = 3, 2048
+SKIPS, PAIRS = 3, 2048  # the second a power of two
 #: Rows of weights: of a class at each skip, of the hashed n-gram, of the constant. Lines of weights fit 16 bits.
 ROWS = SKIPS * CLASSES + PAIRS + 1
 LINES = ROWS * (1 + GROUPS)
@@ -86,8 +86,8 @@ class Model:
         """Rows of weights for each token: the classes before it, the n-gram before it, and the constant."""
         before = [np.where(place > k, np.roll(c, k + 1), 0) + k * CLASSES for k in range(SKIPS)]  # the end stands before a text
         one, two = (np.where(place > k, np.roll(h, k + 1), U64(0)) for k in (0, 1))
-        pair = (mix(one * U64(3) + two) % U64(PAIRS)).astype(np.int64) + SKIPS * CLASSES
-        return np.stack((*before, pair, np.full(len(h), ROWS - 1)), axis=1)
+        pair = (mix(one * U64(3) + two) & U64(PAIRS - 1)).astype(np.int64) + SKIPS * CLASSES
+        return np.stack((*before, pair, np.full(len(h), ROWS - 1))).T
 
     def logits(self, f: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         top, below = self.weights[:ROWS], self.weights[ROWS:]
@@ -106,30 +106,39 @@ class Model:
             line = np.arange(len(g))
             total = np.zeros(len(g))
             for x, y in zip(self.logits(f[s], g), (g, k), strict=True):
-                x -= x.max(axis=1, keepdims=True)
-                total += x[line, y] - np.log(np.exp(x).sum(axis=1))
+                x = x.T.copy()
+                x -= x.max(axis=0)
+                total += x[y, line] - np.log(np.exp(x).sum(axis=0))
             out[s] = total / np.log(10)
         return out
 
     def step(self, f: np.ndarray, c: np.ndarray, squares: np.ndarray, rate: float) -> None:
         """One AdaGrad step over a sparse batch."""
         g, k = np.divmod(c, GROUPS)
-        grad = np.concatenate(self.logits(f, g))
-        grad -= grad.max(axis=1, keepdims=True)
+        grad = np.concatenate(self.logits(f, g)).T.copy()  # outcomes in lines, since numpy is quicker across lines
+        grad -= grad.max(axis=0)
         np.exp(grad, out=grad)
-        grad /= grad.sum(axis=1, keepdims=True)
-        grad[np.arange(len(grad)), np.concatenate((g, k))] -= 1
-        # rows of weights in order, each beside its tokens' gradients
-        flat = np.concatenate((f, ROWS + f * GROUPS + g[:, None])).ravel(order="F").astype(np.uint16)
-        order = np.argsort(flat, kind="stable")
-        flat = flat[order]
-        starts = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
-        used = flat[starts].astype(np.int64)
-        total = np.add.reduceat(grad.astype(np.float64).take(order % len(grad), axis=0), starts, axis=0)
-        total = (total / len(c)).astype(np.float32)
+        grad /= grad.sum(axis=0)
+        grad[np.concatenate((g, k)), np.arange(grad.shape[1])] -= 1
+        # the line of weights of each feature of each token, by its place among those that occur
+        lines = np.stack((f.T, ROWS + f.T * GROUPS + g)).ravel()
+        seen = np.zeros(LINES, bool)
+        seen[lines] = True
+        used = np.flatnonzero(seen)
+        place = np.empty(LINES, np.int64)
+        place[used] = np.arange(len(used))
+        lines = place[lines]
+        total = np.empty((len(used), GROUPS), np.float32)
+        every = np.empty((2, f.shape[1], len(c)))
+        for x in range(GROUPS):
+            every[:] = grad[x].reshape(2, 1, -1)
+            total[:, x] = np.bincount(lines, every.ravel(), len(used)) / len(c)
         s = squares.take(used, axis=0) + total * total
         squares[used] = s
-        self.weights[used] -= rate * total / np.sqrt(s + 1e-8)
+        s += np.float32(1e-8)
+        total *= np.float32(rate)
+        total /= np.sqrt(s, out=s)
+        self.weights[used] = np.subtract(self.weights.take(used, axis=0), total, out=total)
 
 
 def places(bounds: np.ndarray, n: int) -> np.ndarray:
